@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pack_bfd, pack_histogram, sharding
+from . import exact_dedup, mixing, pack_bfd, pack_histogram, phrase_dedup, sharding, weighted_sampling
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,12 +28,21 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_histogram.pack(documents(spark, sf_dir))
 
 
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(documents(spark, sf_dir))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.neighbours(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_token_ids, op3_mixing, op4_packing, op9_sharding)}
+    every = (op1_exact_dedup, op2_token_ids, op3_mixing, op4_packing, op8_phrase_dedup, op9_sharding, op10_fingerprints)
+    return {f.__name__: f for f in every}
 
 
 OP1_SQL = """
