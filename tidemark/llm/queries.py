@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pack_bfd, pack_histogram, phrase_dedup, sharding, weighted_sampling
-from .common import documents
+from . import exact_dedup, mixing, pack_bfd, pack_histogram, phrase_dedup, pu_quality, sharding, weighted_sampling
+from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_histogram.pack(documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -41,7 +45,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_exact_dedup, op2_token_ids, op3_mixing, op4_packing, op8_phrase_dedup, op9_sharding, op10_fingerprints)
+    every = (op1_exact_dedup, op2_token_ids, op3_mixing, op4_packing, op7_quality, op8_phrase_dedup, op9_sharding, op10_fingerprints)
     return {f.__name__: f for f in every}
 
 
