@@ -57,3 +57,16 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         kept.alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents that stay, with all their columns; of rows that repeat id and text one stays.
+
+    Rows without an id stay if one without an id stands for its group.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    kept = exact_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    named = docs.withColumn("_text_sha256", F.sha2(normalised(F.col(text_col)), 256))
+    chosen = named.join(kept, named[id_col].eqNullSafe(kept["_id"]) & (named["_text_sha256"] == kept["_sha"]), "left_semi").drop("_text_sha256")
+    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return chosen if repeated.isEmpty() else chosen.dropDuplicates([id_col, text_col])

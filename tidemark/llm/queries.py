@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pack_bfd, pack_histogram, phrase_dedup, pu_quality, sharding, weighted_sampling
+from . import chosen_path, exact_dedup, language_id, mixing, pack_bfd, pack_histogram, phrase_dedup, pu_quality, sharding, weighted_sampling
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_histogram.pack(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), documents(spark, sf_dir))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_join(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -44,8 +52,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.neighbours(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_exact_dedup, op2_token_ids, op3_mixing, op4_packing, op7_quality, op8_phrase_dedup, op9_sharding, op10_fingerprints)
+    every = (op1_exact_dedup, op2_token_ids, op3_mixing, op4_packing, op5_language_id, op6_jaccard_join, op7_quality, op8_phrase_dedup, op9_sharding, op10_fingerprints, pipeline)
     return {f.__name__: f for f in every}
 
 
