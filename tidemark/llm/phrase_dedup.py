@@ -37,25 +37,28 @@ CLEAN, REMOVED, SUFFIXES = 0, 1, 2
 
 
 def rolling(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-    """Hashes of the substrings of the given lengths at every position: polynomials modulo 2**64, put together from powers of two."""
-    power = {1: LETTER[data]}
-    factor = {1: np.array([ODD])}  # an array, for which multiplication modulo 2**64 goes without a warning
+    """Hashes of the substrings of the given lengths at every position: polynomials modulo 2**64, put together from powers of two.
+
+    A length is the sum of its binary digits; its parts follow one another from the shortest, so that the hashes of one
+    power of two at a time are held.
+    """
+    power, factor = LETTER[data], np.array([ODD])  # an array, for which multiplication modulo 2**64 goes without a warning
+    total: dict[int, np.ndarray] = {}
+    done = dict.fromkeys(lengths, 0)
     n = 1
-    while 2 * n <= max(lengths):
-        power[2 * n] = power[n][:-n] * factor[n] + power[n][n:] if len(power[n]) > n else power[n][:0]
-        factor[2 * n] = factor[n] * factor[n]
-        n *= 2
-    found = []
-    for length in lengths:
-        total, done = None, 0
-        for p in sorted(power, reverse=True):
-            if length & p:
+    while n <= max(lengths):
+        for length in lengths:
+            if length & n:
                 size = max(0, len(data) - length + 1)
-                part = power[p][done : done + size]
-                total = part if total is None else total * factor[p] + part
-                done += p
-        found.append(mix64(total))
-    return found
+                part = power[done[length] : done[length] + size]
+                total[length] = total[length] * factor + part if length in total else part.copy()
+                done[length] += n
+        if len(power) <= n:
+            break
+        longer = power[:-n] * factor
+        longer += power[n:]
+        power, factor, n = longer, factor * factor, 2 * n
+    return [mix64(total.pop(length)) for length in lengths]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -95,6 +98,7 @@ def parse(ids: pa.ChunkedArray, texts: pa.ChunkedArray, width: int, gram: int) -
         return Parsed(numbers, data, bounds, none, none.astype(np.int64), none.astype(np.int64), none.astype(np.int64), none, none.astype(np.uint32))
     grams, window = rolling(data, (gram, width))
     least = sliding_min(grams, width - gram + 1)
+    del grams
     inside = np.ones(len(window), bool)
     for end in bounds[1:-1]:
         inside[max(0, end - width + 1) : end] = False
@@ -108,7 +112,10 @@ def parse(ids: pa.ChunkedArray, texts: pa.ChunkedArray, width: int, gram: int) -
     count = np.diff(np.append(first, len(at)))
     place = np.arange(len(at)) - np.repeat(first, count)
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(count.max()), ODD, np.uint64)]))
-    content = mix64(np.add.reduceat(window[at] * powers[place], first) + count.astype(np.uint64)) >> np.uint64(32)
+    hashes = powers[place]
+    del place
+    hashes *= window[at]
+    content = mix64(np.add.reduceat(hashes, first) + count.astype(np.uint64)) >> np.uint64(32)
     start = at[first]
     doc = np.searchsorted(bounds, start, "right") - 1
     return Parsed(numbers, data, bounds, window, start, count, doc, least[start], content.astype(np.uint32))
@@ -177,7 +184,7 @@ def questions(batch: int, columns: list[np.ndarray], order: np.ndarray, cuts: np
     return pa.table({"bucket": pa.array(full, pa.int32()), "batch": pa.array([batch] * len(full), pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batch_bytes: int = 1 << 20, bucket_bytes: int = 16 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batch_bytes: int = 1 << 19, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
     """Remove each byte that is covered by `width` bytes which also start in a document with a smaller id.
 
     Returns one row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, `with_text`, the kept bytes.
@@ -208,13 +215,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if kind == 1:
             size = [len(x) // 20 for x in raw]
             parts = [(np.frombuffer(x, np.uint64, n), np.frombuffer(x, np.uint32, n, 8 * n), np.frombuffer(x, np.int64, n, 12 * n)) for x, n in zip(raw, size, strict=True)]
+            del raw
             found = phrase_verdicts(*map(np.concatenate, zip(*parts, strict=True)))
         else:
             size = [len(x) // 16 for x in raw]
             parts = [(np.frombuffer(x, np.uint64, n), np.frombuffer(x, np.int64, n, 8 * n)) for x, n in zip(raw, size, strict=True)]
+            del raw
             found = suffix_verdicts(*map(np.concatenate, zip(*parts, strict=True)))
         back = [x.tobytes() for x in np.split(found, np.cumsum(size)[:-1])]
-        return pa.table({"kind": pa.array([kind] * len(raw), pa.int32()), "bucket": table["bucket"], "batch": table["batch"], "data": pa.array(back, pa.binary())})
+        return pa.table({"kind": pa.array([kind] * len(back), pa.int32()), "bucket": table["bucket"], "batch": table["batch"], "data": pa.array(back, pa.binary())})
 
     def told(answers: pa.Table, kind: int, order: np.ndarray) -> np.ndarray:
         """The answers to one kind of question, in the order of the entries."""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import market
+from . import evaluate, market, scalars
 from .registry import Query
 
-PARTS = (market,)
+PARTS = (market, scalars, evaluate)
 
 
 def queries() -> dict[str, Query]:
