@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluate, market, scalars
+from . import catalog, evaluate, ingest, market, scalars
 from .registry import Query
 
-PARTS = (market, scalars, evaluate)
+PARTS = (market, scalars, evaluate, ingest, catalog)
 
 
 def queries() -> dict[str, Query]:
