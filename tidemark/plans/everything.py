@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog, evaluate, ingest, market, scalars
+from . import catalog, connect, evaluate, ingest, market, scalars
 from .registry import Query
 
-PARTS = (market, scalars, evaluate, ingest, catalog)
+PARTS = (market, scalars, evaluate, ingest, catalog, connect)
 
 
 def queries() -> dict[str, Query]:
