@@ -21,13 +21,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, rows_of, text_or_empty
+from .common import cut, mix64, rows_of, text_or_empty, written
 from .components import connected
 
 THRESHOLD, GRAM, RECALL = 0.8, 5, 0.9999
@@ -80,24 +81,40 @@ def runs_for(recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(math.exp(-met)))
 
 
-def sketch_and_choices(shingles: np.ndarray, runs: int, threshold: float) -> tuple[bytes, list[list[list[int]]]]:
-    """The sketch, and for every depth and run the chosen shingles (as signed numbers)."""
-    n = len(shingles)
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, n, 4096):
-        part = shingles[start : start + 4096, None]
-        least = np.minimum(least, (part * _A[:SKETCH] + _B[:SKETCH]).min(axis=0))
-    sketch = (mix64(least) >> np.uint64(56)).astype(np.uint8).tobytes()
-    chosen: list[list[list[int]]] = []
+class Signed(NamedTuple):
+    sketch: np.ndarray  #: one row of bytes a set
+    chosen: list[tuple[np.ndarray, np.ndarray]]  #: for each depth, keys in the order of set and run, and how many each (set, run) has
+
+
+def sketches_and_choices(sets: list[np.ndarray], runs: int, threshold: float) -> Signed:
+    """Sketches, and for every depth and run the chosen shingles, of a batch of sets at once."""
+    m, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if m else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(m), sizes)
+    full = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[full]
+    least = np.full((m, SKETCH), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(SKETCH):
+        if len(full):
+            least[full, k] = np.minimum.reduceat(flat * _A[k] + _B[k], starts)
+    sketch = (mix64(least) >> np.uint64(56)).astype(np.uint8)
+    chosen = []
     for depth in range(DEPTH):
-        bound = min(1.0, (1.0 if depth == 0 else DEEPER) / (threshold * max(1, n)))
-        most = np.uint64(min(bound, 1 - 2.0**-53) * 2.0**64)
+        bound = np.minimum(1.0, (1.0 if depth == 0 else DEEPER) / (threshold * np.maximum(1, sizes)))
+        most = np.repeat((np.minimum(bound, 1 - 2.0**-53) * 2.0**64).astype(np.uint64), sizes)
         at = SKETCH + depth * 100
-        chosen.append([])
+        keys, slots = [], []
         for run in range(runs):
-            picked = shingles[mix64(shingles ^ _B[at + run]) <= most]
-            chosen[-1].append(mix64(picked + _A[at + run]).view(np.int64).tolist())
-    return sketch, chosen
+            hit = np.flatnonzero(mix64(flat ^ _B[at + run]) <= most)
+            keys.append(mix64(flat[hit] + _A[at + run]).view(np.int64))
+            slots.append(owner[hit] * runs + run)
+        slot = np.concatenate(slots)
+        chosen.append((np.concatenate(keys)[np.argsort(slot, kind="stable")], np.bincount(slot, minlength=m * runs)))
+    return Signed(sketch, chosen)
+
+
+def offsets(counts: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
 
 
 SIGNED = "doc_id long, node binary, text_key long, sketch binary, runs array<int>, first array<long>, second array<array<long>>, third array<array<long>>"
@@ -108,16 +125,18 @@ def signatures(docs: DataFrame, runs: int, threshold: float, gram: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(gram)
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int64()))]
         names = SIGNED.replace(", ", " ").split()[::2]
-        for batch in rows_of(batches):
-            out: list[tuple] = []
-            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                s = shingler.shingles(text.as_py())
-                sketch, (one, two, three) = sketch_and_choices(s, runs, threshold)
-                flat = [(r, k) for r, ks in enumerate(one) for k in ks]
-                out.append((doc, node_of(s), key, sketch, [r for r, _ in flat], [k for _, k in flat], two, three))
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        for batch in rows_of(batches, size=2 << 20):
+            m = batch.num_rows
+            sets = [shingler.shingles(text.as_py()) for text in batch.column(2)]
+            sketch, ((first, n_first), *deeper) = sketches_and_choices(sets, runs, threshold)
+            by_set = offsets(n_first.reshape(m, runs).sum(axis=1))
+            every_run = np.repeat(np.tile(np.arange(runs, dtype=np.int32), m), n_first)
+            lists = [pa.ListArray.from_arrays(offsets(np.full(m, runs)), pa.ListArray.from_arrays(offsets(n), pa.array(keys))) for keys, n in deeper]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([node_of(s) for s in sets], pa.binary()), batch.column(1), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.ListArray.from_arrays(by_set, pa.array(every_run)), pa.ListArray.from_arrays(by_set, pa.array(first)), *lists],
+                names=names,
+            )
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -286,13 +305,13 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, gram: int = G
     a class. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    signed = cut(signatures(rows.select("doc_id", "text_key", "text"), runs_for(recall), threshold, gram))
-    numbered = signed.select("doc_id", "node", "text_key", F.monotonically_increasing_id().alias("row"))
+    signed = written(signatures(rows.select("doc_id", "text_key", "text"), runs_for(recall), threshold, gram).withColumn("row", F.monotonically_increasing_id()))
+    numbered = signed.select("doc_id", "node", "text_key", "row")
     nodes = cut(numbered.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")))
     # one signature for each node, from its first row
     rows_first = numbered.groupBy("node").agg(F.min("row").alias("row"))
-    lead = signed.withColumn("row", F.monotonically_increasing_id()).join(rows_first.select("row"), "row")
-    links = candidates(cut(lead.select("node", "sketch", "runs", "first", "second", "third")), threshold, limit, block)
+    lead = signed.join(rows_first.select("row"), "row", "left_semi")
+    links = candidates(written(lead.select("node", "sketch", "runs", "first", "second", "third")), threshold, limit, block)
     parts = cut(connected(links).select("node", F.col("root").alias("part")))
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"))
     members = cut(parts.join(sizes, "part").join(nodes.select("node", "copies", "text_key"), "node"))
