@@ -132,8 +132,11 @@ def distinct_entries(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.
 
 
 def dealt(key: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries ordered by bucket, which is the first `bits` bits of the key, and document; and where buckets begin."""
-    bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    """Entries ordered by bucket, the first `bits` bits of the scrambled key, and document; and where buckets begin.
+
+    Triggers are least hashes and so gather near zero: their own first bits would put a large part of them into one bucket.
+    """
+    bucket = (mix64(key + ODD) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     order = np.lexsort((doc, bucket))
     return order, np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
 
@@ -184,7 +187,7 @@ def questions(batch: int, columns: list[np.ndarray], order: np.ndarray, cuts: np
     return pa.table({"bucket": pa.array(full, pa.int32()), "batch": pa.array([batch] * len(full), pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batch_bytes: int = 1 << 19, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, batch_bytes: int = 1 << 20, bucket_bytes: int = 24 << 20, with_text: bool = False) -> DataFrame:
     """Remove each byte that is covered by `width` bytes which also start in a document with a smaller id.
 
     Returns one row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, `with_text`, the kept bytes.
