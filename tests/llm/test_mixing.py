@@ -32,3 +32,26 @@ def test_same_as_sql(spark):
 def test_value_without_target_gets_nothing(docs):
     got = mixing.mix(docs(["a b"] * 40), targets={"source": {"web": 1.0}})
     assert {r["source"] for r in got.where("sampled").collect()} == {"web"}
+
+
+def test_one_rare_row_does_not_set_the_yield(spark):
+    rows = [(i, "w " * 20, ["web", "books", "code"][i % 3], ["en", "de"][i % 2], ["a", "b"][i % 5 % 2]) for i in range(6000)]
+    schema = "doc_id long, text string, source string, lang string, topic string"
+    plain = mixing.sample_documents(spark.createDataFrame(rows, schema)).count()
+    rare = spark.createDataFrame([*rows, (-1, "", None, None, "a")], schema)
+    kept = mixing.sample_documents(rare)
+    assert kept.where("source is null").count() == 1
+    assert kept.count() > 0.9 * plain
+    # the cells that are not rare still have the raked shares
+    got = mixing.mix(rare, missing=mixing.MISSING, fit=mixing.FIT).where("source <> ''").groupBy("source").agg(F.sum(F.col("tokens") * F.col("probability")).alias("w")).collect()
+    total = sum(r["w"] for r in got)
+    assert [r["w"] / total for r in got] == pytest.approx([1 / 3] * 3, abs=0.02)
+
+
+def test_marginals_fit_within_tolerance(spark):
+    """Skewed cells, for which one round is far from enough."""
+    rows = [(i, s, x, t, n, float(n)) for i, (s, x, t, n) in enumerate([("a", "x", "p", 900), ("a", "y", "q", 10), ("b", "x", "q", 5), ("b", "y", "p", 700), ("b", "y", "q", 3), ("a", "x", "q", 1)])]
+    cells = spark.createDataFrame(rows, "i long, source string, lang string, topic string, tokens long, weight double").drop("i", "weight")
+    targets = {"source": {"a": 0.3, "b": 0.7}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.4, "q": 0.6}}
+    assert mixing.misfit(mixing.rake(cells, targets, 1, 1.0)) > mixing.FIT
+    assert mixing.misfit(mixing.rake(cells, targets, 1, 1.0, fit=mixing.FIT)) <= mixing.FIT

@@ -4,6 +4,10 @@ Token weights are summed into cells (source, language, topic). Raking multiplies
 other, by target share over present share until all three marginals fit. The ratio of a cell's raked weight to its tokens,
 scaled so that the largest is 1, is the probability with which each of its documents is kept; a hash of the document's id
 decides, so a rerun keeps the same documents. The tokens kept are then expected to have the target marginals.
+
+With that scale the rarest cell sets the yield of the whole table. `missing` bounds the ratio: the scale is then the least ratio at
+which the cells above it, kept whole (probability 1), lack at most that share of the target tokens. The distribution of the kept tokens over
+cells is then at most `missing` / (1 - `missing`) from the raked one (half the sum of absolute differences).
 """
 
 from __future__ import annotations
@@ -17,6 +21,11 @@ from .common import WORD, cut, text_or_empty
 DIMENSIONS = ("source", "lang", "topic")
 #: Rounds of raking, and how far each target leans from the present shares (1) to equal shares (0).
 ROUNDS, LEAN = 8, 0.8
+#: For a sample of a corpus: the share of target tokens that cells kept whole may lack, how far the raked marginals may be from their targets
+#: (half the sum of absolute differences of shares), and the most rounds spent on that.
+MISSING, FIT, MOST_ROUNDS = 0.01, 1e-3, 80
+#: Candidates for the bound are the largest ratio times 2 ** (-k / BOUND_STEPS), k up to BOUNDS.
+BOUND_STEPS, BOUNDS = 16, 640
 
 
 def topic_of(text: Column) -> Column:
@@ -33,9 +42,32 @@ def cells_of(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFram
     return docs.select(F.col(id_col).alias("doc_id"), plain("source").alias("source"), plain("lang").alias("lang"), topic.alias("topic"), (F.regexp_count(text, F.lit(WORD)) + 1).cast("long").alias("tokens"), draw.alias("draw"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, lean: float) -> DataFrame:
+def misfit(cells: DataFrame) -> float:
+    """The largest distance of a marginal of the cells' weights from its goal: half the sum of absolute differences of shares."""
+    worst = 0.0
+    for d in DIMENSIONS:
+        sides = cells.groupBy(d).agg(F.sum("weight").alias("w"), F.first(f"goal_{d}").alias("g"))
+        w, g = sides.agg(F.sum("w"), F.sum("g")).first()
+        if not w or not g:
+            return 0.0
+        worst = max(worst, sides.agg(F.sum(F.abs(F.col("w") / w - F.col("g") / g))).first()[0] / 2)
+    return worst
+
+
+def bound_of(raked: DataFrame, most: float, missing: float) -> float:
+    """The least candidate for the scale at which cells of a larger ratio lack at most `missing` of the raked weight."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(BOUNDS))).alias("k")
+    bound = F.lit(most) * F.pow(F.lit(2.0), -F.col("k") / BOUND_STEPS)
+    lacks = raked.select("weight", "tokens", k).groupBy("k").agg((F.sum(F.greatest(F.lit(0.0), F.col("weight") - bound * F.col("tokens"))) / F.sum("weight")).alias("lack"))
+    last = lacks.where(F.col("lack") <= missing).agg(F.max("k")).first()[0] or 0
+    return most * 2.0 ** (-last / BOUND_STEPS)
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, lean: float, fit: float | None = None) -> DataFrame:
     """Cells with `weight` raked to the targets. A dimension without targets leans its own shares towards equal ones.
 
+    With `fit`, rounds go on in blocks of `rounds` until no marginal is farther from its target, at most MOST_ROUNDS.
+
     Values that the given targets do not name get none of the tokens; targets for values that do not occur are left out
     and the rest scaled up.
     """
@@ -47,16 +79,20 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, le
             share = F.pow(here.cast("double"), F.lit(lean))
         cells = cells.withColumn(f"goal_{d}", share)
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for i in range(rounds):
-        for d in DIMENSIONS:
-            now = F.sum("weight").over(Window.partitionBy(d))
-            cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / now).otherwise(0.0))
-        if i % 2:
-            cells = cut(cells)
-    return cells
-
-
-def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, lean: float = LEAN, seed: int = 11) -> DataFrame:
+    done = 0
+    while True:
+        for i in range(rounds):
+            for d in DIMENSIONS:
+                now = F.sum("weight").over(Window.partitionBy(d))
+                cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / now).otherwise(0.0))
+            if i % 2:
+                cells = cut(cells)
+        done += max(1, rounds)
+        if fit is None or done >= MOST_ROUNDS or misfit(cells) <= fit:
+            return cells
+
+
+def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, lean: float = LEAN, seed: int = 11, missing: float = 0.0, fit: float | None = None) -> DataFrame:
     """Each document with its cell, token weight, calibrated probability and whether it is in the sample.
 
     Returns doc_id, source, lang, topic, tokens, probability, sampled.
@@ -68,17 +104,19 @@ def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None,
     """
     rows = cells_of(docs, id_col, text_col, seed)
     cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    raked = cut(rake(cells, targets or {}, rounds, lean).select(*DIMENSIONS, (F.col("weight") / F.col("tokens")).alias("ratio")))
+    raked = cut(rake(cells, targets or {}, rounds, lean, fit).select(*DIMENSIONS, "tokens", "weight", (F.col("weight") / F.col("tokens")).alias("ratio")))
     most = raked.agg(F.max("ratio").alias("most")).first()["most"] or 1.0
+    if missing > 0:
+        most = bound_of(raked, most, missing)
 
-    chance = F.col("ratio") / F.lit(most)
-    return rows.join(raked, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", F.round(chance, 9).alias("probability"), (F.col("draw") < chance).alias("sampled"))
+    chance = F.least(F.lit(1.0), F.col("ratio") / F.lit(most))
+    return rows.join(raked.select(*DIMENSIONS, "ratio"), list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", F.round(chance, 9).alias("probability"), (F.col("draw") < chance).alias("sampled"))
 
 
 def sample_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents in the sample, with all their columns."""
+    """The documents in the sample, with all their columns. Unlike `mix`, bounds what rare cells take from the yield."""
     id_col = options.get("id_col", "doc_id")
-    chosen = mix(docs, **options).where("sampled").select(F.col("doc_id").alias("_chosen")).distinct()
+    chosen = mix(docs, **{"missing": MISSING, "fit": FIT} | options).where("sampled").select(F.col("doc_id").alias("_chosen")).distinct()
     return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_chosen"]), "left_semi")
 
 
