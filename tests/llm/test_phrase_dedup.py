@@ -51,3 +51,10 @@ def test_kept_bytes(docs, words):
     text = words(30, 3)
     rows = {r["doc_id"]: r["kept"] for r in phrase_dedup.remove_repeats(docs([text, text + " end"]), with_text=True).collect()}
     assert bytes(rows[0]).decode() == text and bytes(rows[1]).decode() == " end"
+
+
+def test_phrases_alike_in_32_bits_stay(docs):
+    """Strings round one trigger whose content hashes agree in their upper 32 bits only."""
+    table = ["qekgvzexcgmtiprsfphhyjltpmbyojlzuzuspuejkevyvlxyko", "lfnjsnozrvrurhvsfphhyjltpmbyojlzuzuruxlglrmbuuuvri", "zoskwsshlkwxrfusfphhyjltpmbyojlzuzuaufoalbevyljagc", "mgqjptnamhrreeesfphhyjltpmbyojlzuzuuarukdsaaqmivwa"]
+    rows = phrase_dedup.remove_repeats(docs(table)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == brute(table, 50)

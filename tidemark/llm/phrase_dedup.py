@@ -82,7 +82,7 @@ class Parsed(NamedTuple):
     count: np.ndarray  #: windows of each phrase
     doc: np.ndarray  #: document of each phrase
     trigger: np.ndarray
-    content: np.ndarray
+    content: np.ndarray  #: hash of all windows of each phrase, 64 bits
 
 
 def parse(ids: pa.ChunkedArray, texts: pa.ChunkedArray, width: int, gram: int) -> Parsed:
@@ -95,7 +95,7 @@ def parse(ids: pa.ChunkedArray, texts: pa.ChunkedArray, width: int, gram: int) -
     numbers = np.array([keys[i] for i in order], np.int64)
     if len(data) < width:
         none = np.zeros(0, np.uint64)
-        return Parsed(numbers, data, bounds, none, none.astype(np.int64), none.astype(np.int64), none.astype(np.int64), none, none.astype(np.uint32))
+        return Parsed(numbers, data, bounds, none, none.astype(np.int64), none.astype(np.int64), none.astype(np.int64), none, none)
     grams, window = rolling(data, (gram, width))
     least = sliding_min(grams, width - gram + 1)
     del grams
@@ -105,7 +105,7 @@ def parse(ids: pa.ChunkedArray, texts: pa.ChunkedArray, width: int, gram: int) -
     at = np.flatnonzero(inside)
     if not len(at):
         at = at[:0]
-        return Parsed(numbers, data, bounds, window, at, at, at, at.astype(np.uint64), at.astype(np.uint32))
+        return Parsed(numbers, data, bounds, window, at, at, at, at.astype(np.uint64), at.astype(np.uint64))
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]])
     first = np.flatnonzero(new)
@@ -115,10 +115,10 @@ def parse(ids: pa.ChunkedArray, texts: pa.ChunkedArray, width: int, gram: int) -
     hashes = powers[place]
     del place
     hashes *= window[at]
-    content = mix64(np.add.reduceat(hashes, first) + count.astype(np.uint64)) >> np.uint64(32)
+    content = mix64(np.add.reduceat(hashes, first) + count.astype(np.uint64))
     start = at[first]
     doc = np.searchsorted(bounds, start, "right") - 1
-    return Parsed(numbers, data, bounds, window, start, count, doc, least[start], content.astype(np.uint32))
+    return Parsed(numbers, data, bounds, window, start, count, doc, least[start], content)
 
 
 def distinct_entries(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,8 +216,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def answer(table: pa.Table, kind: int) -> pa.Table:
         raw = table["data"].to_pylist()
         if kind == 1:
-            size = [len(x) // 20 for x in raw]
-            parts = [(np.frombuffer(x, np.uint64, n), np.frombuffer(x, np.uint32, n, 8 * n), np.frombuffer(x, np.int64, n, 12 * n)) for x, n in zip(raw, size, strict=True)]
+            size = [len(x) // 24 for x in raw]
+            parts = [(np.frombuffer(x, np.uint64, n), np.frombuffer(x, np.uint64, n, 8 * n), np.frombuffer(x, np.int64, n, 16 * n)) for x, n in zip(raw, size, strict=True)]
             del raw
             found = phrase_verdicts(*map(np.concatenate, zip(*parts, strict=True)))
         else:
