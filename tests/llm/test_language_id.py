@@ -69,3 +69,17 @@ def test_query_covers_all_pages(spark):
     assert got.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
     # most pages declare the language they are written in
     assert got.where(F.col("declared").isin("en", "de", "fr", "es")).agg(F.avg((F.col("lang") == F.col("declared")).cast("double"))).first()[0] > 0.6
+
+
+def test_rare_language_of_a_large_table(spark):
+    """One document among 8,200 has a language, and the largest hash of all ids."""
+    ids = spark.range(8200)
+    rare = ids.orderBy(F.xxhash64("id", F.lit(3)).desc()).first()[0]
+    one = F.col("id") == rare
+    docs = ids.select(F.col("id").alias("doc_id"), F.when(one, "stuv vuts tsuv").otherwise("abcd dcba bacd").alias("text"), F.when(one, "cc").otherwise("aa").alias("lang"))
+    langs, table = language_id.fit_text(docs)
+    counts = 8199 * language_id.trigrams("abcd dcba bacd") + language_id.ALPHA
+    assert langs == ["aa", "cc"]
+    assert table[0] == pytest.approx(np.log(counts / counts.sum()), rel=1e-5)
+    pages = spark.createDataFrame([(1, "http://x.cc/", '<html lang="cc"><body>stuv tsuv vuts</body></html>'), (2, "http://x.aa/", '<html lang="aa"><body>abcd dcba</body></html>')], "page_id long, url string, html string")
+    assert {r["page_id"]: (r["lang"], r["declared"]) for r in language_id.identify(pages, docs).collect()} == {1: ("cc", "cc"), 2: ("aa", "aa")}

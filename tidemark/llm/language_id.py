@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, rows_of
 
-#: Trigram buckets, most documents the trigram model learns from, and the smoothing of its counts.
-BUCKETS, SAMPLE, ALPHA = 1 << 15, 8_000, 0.5
+#: Trigram buckets, parts in which their counts are summed, languages a task holds counts of, and the smoothing of the counts.
+BUCKETS, PARTS, HELD, ALPHA = 1 << 15, 16, 64, 0.5
 EVIDENCE, LEAN = 40.0, 4.0
 
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style|head)\b.*?</\1\s*>", re.S | re.I)
@@ -52,25 +52,43 @@ def trigrams(text: str) -> np.ndarray:
     return np.bincount((code * np.uint32(2_654_435_769)) >> np.uint32(17), minlength=BUCKETS)
 
 
-def fit_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and a table of trigram log probabilities, from the `sample` labelled documents with the least hash of their id.
+def fit_text(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages, and a table of trigram log probabilities, from all labelled documents.
 
-    Each task sums its documents' counts by language; one table of fixed size a language and task comes to the driver.
+    Each task sums its documents' counts by language, these are summed by language and part of the buckets; one table of fixed
+    size a language comes to the driver.
     """
+    width = BUCKETS // PARTS
+
+    def packed(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+        rows = [(lang, k, at, v[k * width + at]) for lang, v in total.items() for k in range(PARTS) if len(at := np.flatnonzero(v[k * width : (k + 1) * width])) or not k]
+        columns = [pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2].astype(np.uint16).tobytes() for x in rows], pa.binary()), pa.array([x[3].astype(np.int64).tobytes() for x in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "part", "at", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in rows_of(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[lang] = total.get(lang, 0) + trigrams(text.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())], names=["lang", "counts"])
-
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(F.trim(F.col(lang_col))).alias("lang")).where("text is not null and lang is not null and lang <> ''")
-    chosen = named.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample)
-    picked = named.join(F.broadcast(chosen), "id").select("lang", "text").repartition(8)
+                if lang not in total:
+                    if len(total) >= HELD:
+                        yield packed(total)
+                        total = {}
+                    total[lang] = np.zeros(BUCKETS, np.int64)
+                total[lang] += trigrams(text.as_py())
+        if total:
+            yield packed(total)
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        out = np.zeros(width, np.int64)
+        for at, counts in zip(rows["at"].to_pylist(), rows["counts"].to_pylist(), strict=True):
+            out[np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.int64)
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+    named = docs.select(F.lower(F.trim(F.col(lang_col))).alias("lang"), F.col(text_col).alias("text")).where("text is not null and lang is not null and lang <> ''")
+    summed = named.mapInArrow(run, "lang string, part int, at binary, counts binary").groupBy("lang", "part").applyInArrow(add, "lang string, part int, counts binary")
     total: dict[str, np.ndarray] = {}
-    for row in picked.mapInArrow(run, "lang string, counts binary").collect():
-        total[row["lang"]] = total.get(row["lang"], 0) + np.frombuffer(row["counts"], np.int64)
+    for row in summed.collect():
+        total.setdefault(row["lang"], np.zeros(BUCKETS, np.int64))[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
     langs = sorted(total)
     counts = np.array([total[x] for x in langs], np.float64).reshape(len(langs), BUCKETS) + ALPHA
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -103,7 +121,7 @@ def read_pages(pages: DataFrame, langs: list[str], table: np.ndarray, *, id_col:
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, SEEN)
 
 
-def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE, evidence: float = EVIDENCE, lean: float = LEAN) -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", evidence: float = EVIDENCE, lean: float = LEAN) -> DataFrame:
     """The language of each page, from a text model learnt on the labelled documents and all evidence together.
 
     Returns page_id, lang, probability, text_lang, declared, host.
@@ -113,7 +131,7 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
     go to the first language in alphabetical order; repeated rows are pages of their own; without labelled documents every lang is null; empty tables
     give no rows; other columns are ignored.
     """
-    langs, table = fit_text(docs, sample=sample)
+    langs, table = fit_text(docs)
     if not langs:
         return pages.select(F.col(id_col).cast("long").alias("page_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("probability", "double"), ("text_lang", "string"), ("declared", "string"), ("host", "string"))])
     seen = cut(read_pages(pages, langs, table, id_col=id_col, url_col=url_col, html_col=html_col, evidence=evidence))
