@@ -68,3 +68,22 @@ def test_signatures_in_a_batch_are_those_alone(words):
             ends = np.concatenate([[0], np.cumsum(n)])
             assert keys[ends[3 * i] : ends[3 * i + 3]].tolist() == own_keys.tolist()
             assert n[3 * i : 3 * i + 3].tolist() == own_n.tolist()
+
+
+def test_rows_with_one_id_and_different_texts_have_their_own_fate(docs):
+    table = [(1, "a b c d e f g h"), (2, "x y z u v w p q"), (2, "a b c d e f g h"), (3, "k l m n o p q r"), (3, "k l m n o p q r"), (None, None)]
+    kept = chosen_path.one_of_each(docs(table, 3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (1, "a b c d e f g h"), (2, "x y z u v w p q"), (3, "k l m n o p q r")]
+
+
+def test_average_similarity_of_a_bucket(spark, words):
+    """The estimate from signs against the mean over all pairs."""
+    base = words(60, 1).split()
+    near = [" ".join([f"n{i}" if k == i else w for k, w in enumerate(base)]) for i in range(60)]
+    far = [words(60, 10 + i) for i in range(60)]
+    shingler, rows = chosen_path.Shingler(5), []
+    for bucket, texts in ((0, near), (1, far)):
+        sketch = chosen_path.sketches_and_choices([shingler.shingles(t) for t in texts], 1, 0.8).sketch
+        rows += [(bucket, int(s)) for s in chosen_path.signs_of(sketch)]
+    found = chosen_path.alike(spark.createDataFrame(rows, "bucket long, signs long")).collect()
+    assert {r["bucket"]: r["alike"] for r in found} == {0: True, 1: False}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, rows_of, text_or_empty, written
+from .common import cut, mix64, rows_of, stored, text_or_empty
 from .components import connected
 
 THRESHOLD, GRAM, RECALL = 0.8, 5, 0.9999
@@ -37,6 +37,8 @@ SKETCH = 64
 MARGIN = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
 DEPTH, DEEPER = 3, 2.0
 LIMIT, BLOCK, ALIKE = 100, 2048, 0.4
+#: Places of a sketch whose signs estimate how alike the sets of a bucket are.
+SIGNS = 32
 WORD_TABLE = 500_000
 _A = mix64(np.arange(1, 1001, dtype=np.uint64)) | np.uint64(1)
 _B = mix64(np.arange(1001, 2001, dtype=np.uint64))
@@ -113,11 +115,27 @@ def sketches_and_choices(sets: list[np.ndarray], runs: int, threshold: float) ->
     return Signed(sketch, chosen)
 
 
+def signs_of(sketch: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first places of each sketch, as one whole number."""
+    return ((sketch[:, :SIGNS].astype(np.int64) & 1) << np.arange(SIGNS)).sum(axis=1)
+
+
+def alike(rows: DataFrame) -> DataFrame:
+    """(bucket, alike): whether the sets of a bucket (bucket, signs) have an average similarity of ALIKE or more, themselves included.
+
+    A place of two sketches agrees with the sets' similarity and else by chance, so the product of two signs (1 or -1) is expected
+    to be the similarity, and the square of a bucket's sum of signs the sum over all its pairs: one number a place, no pairs.
+    """
+    sums = [F.sum(F.shiftright("signs", i).bitwiseAND(1) * 2 - 1).alias(f"s{i}") for i in range(SIGNS)]
+    mean = sum(F.pow(F.col(f"s{i}").cast("double"), F.lit(2.0)) for i in range(SIGNS)) / SIGNS
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *sums).select("bucket", (mean / F.pow("n", F.lit(2.0)) >= ALIKE).alias("alike"))
+
+
 def offsets(counts: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
 
 
-SIGNED = "doc_id long, node binary, text_key long, sketch binary, runs array<int>, first array<long>, second array<array<long>>, third array<array<long>>"
+SIGNED = "doc_id long, node binary, text_key long, sketch binary, signs long, runs array<int>, first array<long>, second array<array<long>>, third array<array<long>>"
 
 
 def signatures(docs: DataFrame, runs: int, threshold: float, gram: int) -> DataFrame:
@@ -134,7 +152,7 @@ def signatures(docs: DataFrame, runs: int, threshold: float, gram: int) -> DataF
             every_run = np.repeat(np.tile(np.arange(runs, dtype=np.int32), m), n_first)
             lists = [pa.ListArray.from_arrays(offsets(np.full(m, runs)), pa.ListArray.from_arrays(offsets(n), pa.array(keys))) for keys, n in deeper]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([node_of(s) for s in sets], pa.binary()), batch.column(1), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.ListArray.from_arrays(by_set, pa.array(every_run)), pa.ListArray.from_arrays(by_set, pa.array(first)), *lists],
+                [batch.column(0), pa.array([node_of(s) for s in sets], pa.binary()), batch.column(1), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(signs_of(sketch)), pa.ListArray.from_arrays(by_set, pa.array(every_run)), pa.ListArray.from_arrays(by_set, pa.array(first)), *lists],
                 names=names,
             )
 
@@ -215,11 +233,7 @@ def candidates(nodes: DataFrame, threshold: float, limit: int, block: int) -> Da
         if last:
             ready = shared.select("bucket", "node", "n")
         else:
-            # average similarity of a bucket, from the chance that two of its sets agree in a place of their sketches
-            places = large.join(sketches, "node").select("bucket", "n", F.posexplode(F.array(*[F.substring("sketch", i, 1) for i in (1, 2, 3, 4, 5, 6, 7, 8)])).alias("place", "value"))
-            alike = places.groupBy("bucket", "n", "place", "value").agg(F.count(F.lit(1)).alias("same")).groupBy("bucket", "n").agg(F.sum(F.pow("same", F.lit(2.0))).alias("s"))
-            alike = cut(alike.select("bucket", (F.col("s") / 8 / F.pow("n", F.lit(2.0)) >= ALIKE).alias("alike")))
-            marked = large.join(alike, "bucket")
+            marked = large.join(cut(alike(large.join(nodes.select("node", "signs"), "node"))), "bucket")
             ready = small.unionByName(marked.where("alike").select("bucket", "node", "n"))
             choices = nodes.select("node", F.col(more).alias("choices"))
             level = marked.where("not alike").select("node", "run", "bucket").join(choices, "node").select("node", "run", "bucket", F.explode(F.col("choices")[F.col("run")]).alias("key")).select("node", "run", F.xxhash64("bucket", "key").alias("bucket"))
@@ -304,15 +318,21 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, gram: int = G
     others; a class of null ids has a null class_id. Rows that repeat an id are documents of their own, and one row stands for
     a class. An empty table gives no rows; other columns are ignored.
     """
+    return placed_rows(docs, threshold, gram, recall, id_col, text_col, limit, block).select("doc_id", "class_id", "n_links", "class_size", "first")
+
+
+def placed_rows(docs: DataFrame, threshold: float, gram: int, recall: float, id_col: str, text_col: str, limit: int, block: int) -> DataFrame:
+    """What `jaccard_join` returns, with text_key: a hash of each row's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    signed = written(signatures(rows.select("doc_id", "text_key", "text"), runs_for(recall), threshold, gram).withColumn("row", F.monotonically_increasing_id()))
-    numbered = signed.select("doc_id", "node", "text_key", "row")
-    nodes = cut(numbered.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min("text_key").alias("text_key")))
+    signed = stored(signatures(rows.select("doc_id", "text_key", "text"), runs_for(recall), threshold, gram).withColumn("row", F.monotonically_increasing_id()))
+    numbered = stored(signed.rows.select("doc_id", "node", "text_key", "row")).rows
+    nodes = cut(numbered.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.min("row").alias("row")))
     # one signature for each node, from its first row
-    rows_first = numbered.groupBy("node").agg(F.min("row").alias("row"))
-    lead = signed.join(rows_first.select("row"), "row", "left_semi")
-    links = candidates(written(lead.select("node", "sketch", "runs", "first", "second", "third")), threshold, limit, block)
+    lead = stored(signed.rows.join(nodes.select("row"), "row", "left_semi").select("node", "sketch", "signs", "runs", "first", "second", "third"))
+    signed.drop()
+    links = candidates(lead.rows, threshold, limit, block)
     parts = cut(connected(links).select("node", F.col("root").alias("part")))
+    lead.drop()
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"))
     members = cut(parts.join(sizes, "part").join(nodes.select("node", "copies", "text_key"), "node"))
     # the text of a node: one row of each text whose key is that of the node
@@ -334,13 +354,16 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, gram: int = G
     placed = numbered.join(by_node, "node")
     # the row that stands for a class: of the rows with its id, the first
     standing = placed.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("row").alias("first_row"))
-    return placed.join(standing, "root").select("doc_id", "class_id", "n_links", F.col("class_size").cast("long").alias("class_size"), (F.col("row") == F.col("first_row")).alias("first"))
+    return placed.join(standing, "root").select("doc_id", "class_id", "n_links", F.col("class_size").cast("long").alias("class_size"), (F.col("row") == F.col("first_row")).alias("first"), "text_key")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stand for their class, with all their columns."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    chosen = jaccard_join(docs, **options).where("first").select(F.col("doc_id").alias("_chosen"))
-    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = docs.join(chosen.distinct(), docs[id_col].eqNullSafe(chosen["_chosen"]), "left_semi")
+def one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """The documents that stand for their class, with all their columns; of rows that repeat id and text one stays.
+
+    Rows are known by id and text, so that of rows with one id but different texts each has its own fate.
+    """
+    chosen = placed_rows(docs, threshold, gram, recall, id_col, text_col, limit, block).where("first").select(F.col("doc_id").alias("_chosen"), F.col("text_key").alias("_chosen_text"))
+    same = docs[id_col].eqNullSafe(F.col("_chosen")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_chosen_text"))
+    kept = docs.join(chosen.distinct(), same, "left_semi")
+    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])

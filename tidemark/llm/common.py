@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +26,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the session has set.
 
-    Only where that setting is missing (tests on one machine) a folder of our own is set.
+    Only a session on one machine without either (tests) gets a folder of its own; on a cluster that is an error.
     """
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-shared-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+class Stored(NamedTuple):
+    """A Parquet table in the shared folder: `rows` to read, `drop` once later tables no longer need it."""
+
+    rows: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        spark = self.rows.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> Stored:
     """`df` as a Parquet table in the shared folder: for wide rows of which later steps read a few columns each."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tidemark-tables-")
-    at = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.parquet(at)
+    return Stored(spark.read.parquet(at), at)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """For links (a, b), the root of each linked node: node, root (the least node of its component).
 
     A step is a grouping for the least neighbour and a plain join back, so that a node with very many links is split like
-    any skewed join key. Steps end when the links are those of stars around the roots and no longer change.
+    any skewed join key. Steps end when the links are those of stars around the roots and no longer change, which takes a number
+    of rounds that grows with the logarithm of the nodes.
     """
     links = cut(links.where("a <> b").distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
