@@ -49,3 +49,40 @@ def test_small_table_of_rows_gives_the_same(words, monkeypatch):
     small = ws.Sampler(16)
     small.fingerprint(words(2500, 6))
     assert (small.fingerprint(text) == whole).all()
+
+
+def test_draws_are_those_of_the_formula():
+    """Each draw again, one at a time, from the formula in whole and double-precision numbers."""
+    import math
+
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def scramble(x):
+        for shift, factor in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D)):
+            x ^= x >> shift
+            x = x * factor & mask
+        return x ^ x >> 33
+
+    samples = 16
+    salts = [scramble(i) for i in range(1, 2 * samples + 1)]
+    entries = ws.entries_of("one two two three three three " + "four " * 50)
+    score, _ = ws.Sampler(samples).draws(entries)
+    for i, (term, n) in enumerate([(b"one", 1), (b"two", 2), (b"three", 3), (b"four", 50)]):
+        for k in range(samples):
+            x, y = (scramble(xxhash.xxh3_64_intdigest(term) ^ salts[k + j * samples]) for j in (0, 1))
+            u = [(v + 0.5) / (1 << 24) for v in (x >> 40, x >> 16 & 0xFFFFFF, y >> 40, y >> 16 & 0xFFFFFF)]
+            r, c, b = -math.log(u[0] * u[1]), -math.log(u[2] * u[3]), ((x & 0xFFFF) << 16 | y & 0xFFFF) / (1 << 32)
+            t = math.floor(math.log(n) / r + b)
+            assert abs(score[i, k] - (math.log(c) - r * (t - b + 1))) < 1e-3
+
+
+def test_gamma_draws_have_mean_and_variance_two():
+    """For weight 1 the score is ln c - r (1 - b): its mean over many terms is that of independent gamma and uniform draws."""
+    rng = np.random.default_rng(1)
+    found = ws.Sampler(64).draws([b"w%d" % i for i in range(3000)])[0].ravel()
+    r, c, b = rng.gamma(2, 1, found.size), rng.gamma(2, 1, found.size), rng.uniform(size=found.size)
+    want = np.log(c) - r * (np.floor(b) - b + 1)
+    assert abs(found.mean() - want.mean()) < 0.02 and abs(found.std() - want.std()) < 0.02
+    assert np.allclose(np.quantile(found, [0.01, 0.1, 0.5, 0.9, 0.99]), np.quantile(want, [0.01, 0.1, 0.5, 0.9, 0.99]), atol=0.08)

@@ -16,12 +16,12 @@ is then a minimum over rows of that table.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,48 +30,63 @@ from .common import cut, mix64, rows_of, shuffle_width
 SAMPLES = 64
 #: Table rows one worker keeps (with 64 samples about 25 MB), and the terms of a document handled at once.
 TABLE_ROWS, AT_ONCE = 60_000, 2_000
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Stands for the empty text, so that it has a fingerprint like any other.
-NO_WORDS = "\x00"
+NO_WORDS = b"\x00"
+
+
+def entries_of(text: str) -> list[bytes]:
+    """The weighted terms of a text: a word that occurs once is its own bytes, any other has its count and a space before it."""
+    counts = Counter(text.encode("utf-8", "surrogatepass").split())
+    return [term if n == 1 else b"%d %b" % (n, term) for term, n in counts.items()] or [NO_WORDS]
 
 
 class Sampler:
     def __init__(self, samples: int):
         self.samples = samples
-        self.rows: dict[tuple[str, int], int] = {}
+        self.rows: dict[bytes, int] = {}
         self.score = np.empty((TABLE_ROWS, samples), np.float32)
         self.mark = np.empty((TABLE_ROWS, samples), np.uint16)
-        self.salts = mix64(np.arange(1, 5 * samples + 1, dtype=np.uint64)).reshape(5, samples)
-
-    def draws(self, terms: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        name = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for t, _ in terms], np.uint64)
-        weight = np.log(np.array([w for _, w in terms], np.float64))[:, None]
-        uniform = [((mix64(name[:, None] ^ self.salts[i]) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53) for i in range(5)]
-        r, c, b = -np.log(uniform[0] * uniform[1]), -np.log(uniform[2] * uniform[3]), uniform[4]
+        self.salts = mix64(np.arange(1, 2 * samples + 1, dtype=np.uint64)).reshape(2, samples)
+
+    def draws(self, entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and the 16 bits of (term, t) of each entry and sample.
+
+        Two scrambled hashes of a term and sample hold its five uniform numbers: twice 24 bits for r, twice 24 for c, and
+        what is left of both, 32 bits, for b.
+        """
+        parted = [e.partition(b" ") for e in entries]
+        name = np.array([xxhash.xxh3_64_intdigest(term or first) for first, _, term in parted], np.uint64)[:, None]
+        weight = np.log(np.array([int(first) if term else 1 for first, _, term in parted], np.float32))[:, None]
+        one, two = mix64(name ^ self.salts[0]), mix64(name ^ self.salts[1])
+        low, step = np.uint64((1 << 24) - 1), np.float32(2.0**-24)
+        uniform = lambda x: (x.astype(np.float32) + np.float32(0.5)) * step
+        gamma = lambda x: np.maximum(-np.log(uniform(x >> np.uint64(40)) * uniform((x >> np.uint64(16)) & low)), np.float32(1e-7))
+        r, c = gamma(one), gamma(two)
+        b = (((one & np.uint64(0xFFFF)) << np.uint64(16)) | (two & np.uint64(0xFFFF))).astype(np.float32) * np.float32(2.0**-32)
         t = np.floor(weight / r + b)
-        score = np.log(c) - r * (t - b) - r
-        mark = mix64(name[:, None] + np.uint64(0x632BE59BD9B4E019) * t.astype(np.int64).astype(np.uint64)) >> np.uint64(48)
-        return score.astype(np.float32), mark.astype(np.uint16)
+        score = np.log(c) - r * (t - b + 1)
+        mark = ((name + t.astype(np.int64).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E6C63D0876A9A35)) >> np.uint64(48)
+        return score, mark.astype(np.uint16)
 
-    def look_up(self, terms: list[tuple[str, int]]) -> list[int]:
-        found = list(map(self.rows.get, terms))
+    def look_up(self, entries: list[bytes]) -> list[int]:
+        found = list(map(self.rows.get, entries))
         if None in found:
-            new = [t for t, at in zip(terms, found, strict=True) if at is None]
+            new = [e for e, at in zip(entries, found, strict=True) if at is None]
             if len(self.rows) + len(new) > TABLE_ROWS:
                 self.rows.clear()
-                new = terms
+                new = entries
             start = len(self.rows)
             self.score[start : start + len(new)], self.mark[start : start + len(new)] = self.draws(new)
             self.rows.update(zip(new, range(start, start + len(new)), strict=True))
-            found = list(map(self.rows.get, terms))
+            found = list(map(self.rows.get, entries))
         return found
 
     def fingerprint(self, text: str) -> np.ndarray:
-        terms = list(Counter(WORDS.findall(text)).items()) or [(NO_WORDS, 1)]
+        entries = entries_of(text)
         best, mark = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint16)
         every = np.arange(self.samples)
-        for i in range(0, len(terms), AT_ONCE):
-            rows = np.array(self.look_up(terms[i : i + AT_ONCE]))
+        for i in range(0, len(entries), AT_ONCE):
+            rows = np.array(self.look_up(entries[i : i + AT_ONCE]))
             scores = self.score[rows]
             at = scores.argmin(axis=0)
             least = scores[at, every]
@@ -142,7 +157,7 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     back = F.create_map(*[F.lit(x) for p in order for x in (p, before[p])])
     guest = F.col("k") == lead[F.col("part")]
     homes = F.when(guest, F.array(F.struct(F.col("part").alias("home"), F.lit(0).alias("guest")), F.struct(back[F.col("part")].alias("home"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("part").alias("home"), F.lit(0).alias("guest"))))
-    placed = dealt.select("doc_id", "k", "text", F.inline(homes)).repartition(count, "home").sortWithinPartitions("home", "guest", F.desc("k"), "text")
+    placed = dealt.select("doc_id", "k", "text", F.inline(homes)).repartitionByRange(max(count, len(order)), "home").sortWithinPartitions("home", "guest", F.desc("k"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(samples)
