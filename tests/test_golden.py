@@ -1,5 +1,6 @@
 """Small cases with known results."""
 
+import math
 from datetime import date, datetime
 
 import numpy as np
@@ -10,7 +11,7 @@ from tidemark.functions import indicators as ind
 from tidemark.functions import pricing as pr
 from tidemark.functions import vocabulary as vo
 from tidemark.operators import backtest as bt
-from tidemark.operators import catalog, constraints, labels, models, reconcile, temporal, upsert
+from tidemark.operators import catalog, constraints, labels, models, reconcile, runs, temporal, upsert
 from tidemark.sources import catalogue_json, chart_json, html_tables
 
 
@@ -184,3 +185,42 @@ def test_market_date_is_local(spark):
 
     df = spark.createDataFrame([(datetime(2026, 3, 10, 1, 0),)], "t timestamp_ntz")
     assert df.select(mt.market_date(F.col("t"))).first()[0] == date(2026, 3, 9)
+
+
+def test_random_baseline_draws_one_label_a_row():
+    x, y = np.zeros((200, 1)), np.array([0, 1, 1, 1] * 50)
+    model = models.make_model("random").fit(x, y)
+    p = model.predict_proba(x)
+    assert set(p.tolist()) == {0.0, 1.0} and (model.predict(x) == p).all() and 0.65 < p.mean() < 0.85
+    assert (models.make_model("random").fit(x, y).predict_proba(x) == p).all()
+
+
+def test_unknown_horizon_is_an_error(spark):
+    names = spark.createDataFrame([("1d", 1), ("2y", 504)], "h string, n int")
+    assert all(r["n"] == r["s"] for r in names.withColumn("s", pr.horizon_sessions(F.col("h"))).collect())
+    with pytest.raises(Exception, match="unknown horizon: 5d"):
+        spark.createDataFrame([("5d",)], "h string").select(pr.horizon_sessions(F.col("h"))).collect()
+
+
+def test_percentages(spark):
+    values = [(0.53, "53,0\u00a0%", "+53,0\u00a0%"), (-0.004, "-0,4\u00a0%", "-0,4\u00a0%"), (12.3456, "1.234,6\u00a0%", "+1.234,6\u00a0%"), (None, "—", "—"), (float("nan"), "—", "—"), (float("inf"), "—", "—"), (0.0, "0,0\u00a0%", "0,0\u00a0%")]
+    rows = spark.createDataFrame(values, "v double, shown string, signed string")
+    for r in rows.select("shown", "signed", pr.format_percent(F.col("v")).alias("a"), pr.format_percent(F.col("v"), signed=True).alias("b")).collect():
+        assert (r["a"], r["b"]) == (r["shown"], r["signed"])
+
+
+def test_no_snapshot_is_an_error(spark):
+    with pytest.raises(ValueError, match="snapshot"):
+        runs.metadata_run(None, None, [], None, day=F.current_date(), seen_at=F.current_timestamp())
+
+
+def test_tables_in_tables_and_unclosed_parts():
+    page = "<table class='x b'><tr><th>A</th></tr><tr><td>1<table class=b><tr><td>in</td></tr></table>2<br>3</td><td></td></tr><tr></tr></table><table><tr><td>no</td></tr></table><table class=b><tr><td>late"
+    assert html_tables.cells_of(page, "b") == [(0, 0, 0, True, "A"), (0, 1, 0, False, "12 3"), (0, 1, 1, False, "")]
+    assert html_tables.text_of("<p>a<script>if (a < b) x()</script>b</p>c<style>d</style>&amp;<div>e") == "ab c& e"
+
+
+def test_union_of_keys(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1.5, "b": "x"}'), (2, '{"b": 2, "c": 3}'), (3, None)], "i int, j string")
+    got = {r["i"]: (r["a"], r["b"]) for r in catalog.union_of_keys(rows, "j", ["a", "b"]).collect()}
+    assert got[1] == (1.5, None) and math.isnan(got[2][0]) and got[2][1] == 2.0 and all(map(math.isnan, got[3]))

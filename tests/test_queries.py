@@ -46,4 +46,5 @@ def test_same_rows_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"m4_boosted_trees"}))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    """Queries that SQL cannot express; what they must give is in the golden tests."""
+    assert QUERIES[name](spark, SF).count() > 0

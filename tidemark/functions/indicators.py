@@ -83,11 +83,22 @@ def volatility(arr: Column, least: int = VOLATILITY + 1) -> Column:
 
 
 def rsi(arr: Column, period: int = WILDER) -> Column:
-    moves = steps(arr)
-    gain = ewm(F.transform(moves, lambda x: F.greatest(x, F.lit(0.0))), 1 / period)
-    loss = ewm(F.transform(moves, lambda x: F.greatest(-x, F.lit(0.0))), 1 / period)
-    value = F.when(loss == 0, F.when(gain > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))))
-    return enough(arr, period + 1, value)
+    """Wilder's relative strength of the moves between neighbours, in one pass."""
+    a = 1 / period
+    start = F.struct(F.try_element_at(arr, F.lit(1)).alias("x"), F.lit(None).cast("double").alias("g"), F.lit(None).cast("double").alias("l"))
+
+    def mean_of(before: Column, x: Column) -> Column:
+        return F.when(before.isNull(), x).otherwise(before * (1 - a) + x * a)
+
+    def step(state: Column, x: Column) -> Column:
+        move = x - state["x"]
+        return F.struct(x.alias("x"), mean_of(state["g"], F.greatest(move, F.lit(0.0))).alias("g"), mean_of(state["l"], F.greatest(-move, F.lit(0.0))).alias("l"))
+
+    def value(end: Column) -> Column:
+        flat = F.when(end["g"] > 0, 100.0).otherwise(50.0)
+        return F.when(end["l"] == 0, flat).otherwise(100 - 100 / (1 + end["g"] / F.nullif(end["l"], F.lit(0.0))))
+
+    return enough(arr, period + 1, F.aggregate(F.slice(arr, F.lit(2), F.greatest(F.lit(0), F.size(arr) - 1)), start, step, value))
 
 
 def macd(arr: Column) -> tuple[Column, Column]:

@@ -55,3 +55,20 @@ def verdict(probability: Column) -> Column:
 def safe_map(text: Column) -> Column:
     """A JSON object of numbers as a map; an empty map for anything else."""
     return F.coalesce(F.from_json(text, "map<string,double>"), F.create_map().cast("map<string,double>"))
+
+
+def horizon_sessions(name: Column) -> Column:
+    """Sessions of a horizon; an unknown one is an error."""
+    known = F.create_map(*[F.lit(x) for kv in HORIZONS.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, name), F.raise_error(F.concat(F.lit("unknown horizon: "), F.coalesce(name, F.lit("null")))).cast("int"))
+
+
+def format_percent(fraction: Column, *, signed: bool = False) -> Column:
+    """A fraction as a percentage with one decimal, '.' between thousands and ',' before decimals; a dash for null and non-finite ones.
+
+    `signed` puts a plus before positive ones.
+    """
+    value = fraction.cast("double")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    shown = F.concat(F.translate(F.format_number(F.round(value * 100, 1), 1), ",.", ".,"), F.lit("\u00a0%"))
+    return F.when(finite, F.concat(F.when(value > 0, "+").otherwise(""), shown) if signed else shown).otherwise("—")

@@ -91,7 +91,7 @@ def curve_metrics(curve: DataFrame, by: list[str], order: str, equity: str = "eq
     steps = curve.withColumn("_step", F.col(equity) / F.lag(equity).over(w) - 1).withColumn("_drop", 1 - F.col(equity) / F.max(equity).over(w))
     total = steps.groupBy(*by).agg((F.max_by(equity, order) / F.min_by(equity, order)).alias("_gain"), F.count("_step").alias("_n"), F.nullif(F.stddev_samp("_step"), F.lit(0.0)).alias("_std"), F.avg("_step").alias("_mean"), F.max("_drop").alias("max_drawdown"))
     year = F.sqrt(F.lit(float(YEAR)))
-    return total.select(*by, F.col("_gain").alias("growth"), (F.col("_gain") - 1).alias("total_return"), (F.pow("_gain", YEAR / F.col("_n")) - 1).alias("annualised_return"), (F.col("_std") * year).alias("volatility"), (F.col("_mean") / F.col("_std") * year).alias("sharpe"), "max_drawdown")
+    return total.select(*by, F.col("_gain").alias("growth"), F.col("_n").alias("steps"), (F.col("_gain") - 1).alias("total_return"), (F.pow("_gain", YEAR / F.col("_n")) - 1).alias("annualised_return"), (F.col("_std") * year).alias("volatility"), (F.col("_mean") / F.col("_std") * year).alias("sharpe"), "max_drawdown")
 
 
 def trade_metrics(df: DataFrame, by: list[str]) -> DataFrame:

@@ -82,3 +82,16 @@ def complete_runs(bars: DataFrame, snapshots: DataFrame, keys: list[str], day: s
     joined = bars.join(have, [*keys, day], "left")
     whole = joined.groupBy(*keys).agg(F.count_if(F.col("_have").isNull()).alias("_miss")).where("_miss = 0").select(*keys)
     return joined.join(whole, keys, "left_semi").drop("_have")
+
+
+def actual_and_theoretical(local: DataFrame, theoretical: DataFrame) -> DataFrame:
+    """The two price series of a dashboard and the premium between them, on days that have both."""
+    series = theoretical.select("instrument_id", "market_date", F.col("theoretical_price").alias("theoretical"), F.col("premium_discount").alias("premium"))
+    return local.select("instrument_id", "market_date", F.col("close").alias("actual")).join(series, ["instrument_id", "market_date"])
+
+
+def union_of_keys(rows: DataFrame, json: str, names: list[str]) -> DataFrame:
+    """JSON objects as columns of doubles: a key that is missing is NaN, a value that is no number null; other keys are left out."""
+    found = F.from_json(json, "map<string,string>")
+    value = lambda n: F.when(F.coalesce(F.map_contains_key(found, F.lit(n)), F.lit(False)), F.try_element_at(found, F.lit(n)).try_cast("double")).otherwise(float("nan"))
+    return rows.select(*[c for c in rows.columns if c != json], *[value(n).alias(n) for n in names])

@@ -32,6 +32,8 @@ def newest(column: str, bars: int, *by: str) -> Column:
 
 def technical(bars: DataFrame, prefix: str) -> DataFrame:
     """State at each bar of the technical indicators: instrument_id, market_date and the family's columns."""
+    # windows of few series are small in bytes but not in work: their partitions are not to be put together again
+    bars = bars.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "instrument_id")
     arrays = {x: newest(c, ind.BARS, "instrument_id") for x, c in (("c", "close"), ("h", "high"), ("l", "low"), ("v", "volume"))}
     rows = bars.select("instrument_id", "market_date", *[a.alias(f"_{x}") for x, a in arrays.items()])
     c, h, lo, v = (F.col(f"_{x}") for x in "chlv")

@@ -33,17 +33,17 @@ class Majority:
 
 
 class SeededRandom:
-    """Labels drawn with the training distribution from a seeded generator."""
+    """Labels drawn with the training distribution from a seeded generator; a drawn label has probability 1."""
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> SeededRandom:
         self.rate = float(checked_labels(y).mean())
         return self
 
     def predict_proba(self, x: np.ndarray) -> np.ndarray:
-        return np.full(len(x), self.rate)
+        return np.random.default_rng(SEED).choice([0, 1], size=len(x), p=[1 - self.rate, self.rate]).astype(float)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return np.random.default_rng(SEED).choice([0, 1], size=len(x), p=[1 - self.rate, self.rate])
+        return self.predict_proba(x).astype(int)
 
 
 class Logistic:

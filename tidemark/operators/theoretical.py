@@ -26,7 +26,7 @@ def assemble(local: DataFrame, underlying: DataFrame, fx: DataFrame, ratios: Dat
     the newest before that instant.
     """
     rows = local.select("instrument_id", "market_date", F.col("close").alias("local_price"), at("market_date", LOCAL_CLOCK).alias("ts"))
-    rows = rows.join(F.broadcast(instruments.select("instrument_id", market_zone(F.col("underlying_market")).alias("zone"))), "instrument_id")
+    rows = rows.join(instruments.select("instrument_id", market_zone(F.col("underlying_market")).alias("zone")), "instrument_id")
     # the venue's date at that instant: bars are eligible before it (their own instants, earlier in the day, then are too)
     rows = rows.withColumn("venue_date", market_date(F.col("ts"), F.col("zone")))
     under = underlying.where("close is not null").select("instrument_id", F.col("market_date").alias("u_date"), F.col("close").alias("u_close"))

@@ -45,6 +45,13 @@ def upsert_rates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(stored, incoming, ["pair", "source", "market_date"], values=("open", "high", "low", "close"), silent=("timestamp", "volume"))
 
 
+def merge_attributes(old: Column, new: Column) -> Column:
+    """Old entries that nothing came in for, and the new ones with their keys under 'sources.'."""
+    none = F.create_map().cast("map<string,string>")
+    fresh = F.transform_keys(F.coalesce(new, none), lambda k, _: F.concat(F.lit("sources."), k))
+    return F.map_concat(F.map_filter(F.coalesce(old, none), lambda k, _: ~F.array_contains(F.map_keys(fresh), k)), fresh)
+
+
 def upsert_instruments(stored: DataFrame, incoming: DataFrame, seen_at: Column) -> DataFrame:
     """By symbol: a value that says something replaces the stored one, silence does not; who is listed is active again.
 
@@ -64,9 +71,7 @@ def upsert_instruments(stored: DataFrame, incoming: DataFrame, seen_at: Column)
         if c == "last_seen_at":
             return F.when(came, seen_at).otherwise(old)
         if c == "attributes":
-            none = F.create_map().cast("map<string,string>")
-            fresh = F.transform_keys(F.coalesce(new, none), lambda k, _: F.concat(F.lit("sources."), k))
-            return F.map_concat(F.map_filter(F.coalesce(old, none), lambda k, _: ~F.array_contains(F.map_keys(fresh), k)), fresh)
+            return merge_attributes(old, new)
         if c in KEPT_IF_SILENT:
             return F.coalesce(F.nullif(new, F.lit("UNKNOWN")), old, F.lit("UNKNOWN"))
         return F.coalesce(F.nullif(new, F.lit("")), old) if c != "symbol" else F.coalesce(old, new)

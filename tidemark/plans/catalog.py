@@ -9,7 +9,8 @@ from ..operators import catalog as ca
 from ..operators import temporal
 from ..sources import domain_views as views
 from ..sources.domain_views import table, with_views
-from .ingest import RECORDS, merged, records
+from .ingest import RECORDS, records
+from .market import THEO_STEP, theoretical_rows
 from .registry import Registry
 
 registry = Registry()
@@ -146,10 +147,9 @@ def complete_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.complete_runs(bars, snaps, ["instrument_id"], "market_date").groupBy("instrument_id").agg(F.count(F.lit(1)).alias("bars"))
 
 
-@add("j13_actual_and_theoretical", with_views("SELECT l.instrument_id, l.market_date, l.close AS actual, u.close AS reference FROM v_local l JOIN v_underlying u ON l.instrument_id = u.instrument_id AND l.market_date = u.market_date"))
+@add("j13_actual_and_theoretical", with_views("SELECT l.instrument_id, l.market_date, l.close AS actual, t.theoretical_price AS theoretical, t.premium_discount AS premium FROM v_local l JOIN theo t ON l.instrument_id = t.instrument_id AND l.market_date = t.market_date", THEO_STEP))
 def actual_and_theoretical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = views.underlying_bars(spark, sf_dir).select("instrument_id", "market_date", F.col("close").alias("reference"))
-    return views.local_bars(spark, sf_dir).select("instrument_id", "market_date", F.col("close").alias("actual")).join(other, ["instrument_id", "market_date"])
+    return ca.actual_and_theoretical(views.local_bars(spark, sf_dir), theoretical_rows(spark, sf_dir))
 
 
 @add("j15_symbol_semi_join", with_views("SELECT instrument_id, market_date FROM v_local WHERE instrument_id IN (SELECT instrument_id FROM v_instruments WHERE underlying_market = 'NYSE')"))
@@ -160,10 +160,3 @@ def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("o4_calendar_spine", with_views("SELECT instrument_id, CAST(unnest(generate_series(min(market_date), max(market_date), INTERVAL 1 DAY)) AS DATE) AS market_date FROM v_local GROUP BY instrument_id"))
 def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.calendar(views.local_bars(spark, sf_dir), ["instrument_id"])
-
-
-@add("o1_metadata_run")
-def metadata_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit row of a metadata run: sources merged, disputes, symbols."""
-    rows = merged(spark, sf_dir)
-    return rows.agg(F.count(F.lit(1)).alias("instruments_seen"), F.count_if(F.size("conflicts") > 0).alias("quarantined"), F.count("ratio").alias("with_ratio"), F.count_if(F.size("sources") > 1).alias("in_several"))

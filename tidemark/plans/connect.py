@@ -116,7 +116,7 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- models -------------------------------------------------------------------------------------------------------------
 
-CHOSEN = ["cedear_return_1d", "cedear_return_5d", "cedear_sma_5", "cedear_rsi_14", "cedear_rolling_volatility_20d"]
+CHOSEN = fe.FAMILIES["cedear_technical"]
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,4 +169,4 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("m4_boosted_trees")
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dataset(spark, sf_dir).cache()
-    return models.boosted_trees(rows.where("position < 200"), rows.where("position >= 200"), CHOSEN, trees=10).select("instrument_id", "market_date", "label", "p")
+    return models.boosted_trees(rows.where("position < 200"), rows.where("position >= 200"), CHOSEN).select("instrument_id", "market_date", "label", "p")

@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import catalog as ca
 from ..operators import constraints as co
 from ..operators import reconcile as rc
+from ..operators import runs
 from ..operators import upsert as up
 from ..sources import domain_views as views
 from ..sources.domain_views import table, with_views
+from .market import THEO_STEP, snapshot_rows, theoretical_rows
 from .registry import Registry
 
 registry = Registry()
@@ -114,7 +117,11 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).groupBy("symbol").agg(F.count_distinct("ratio").alias("ratios"), F.count_distinct("underlying_symbol").alias("underlyings"))
 
 
-@add("set4_merge_extras")
+EXTRAS = """SELECT symbol, '{' || string_agg('"' || key || '":"' || v || '"', ',' ORDER BY key) || '}' AS extra FROM (SELECT symbol, key, min_by(v, rank * 1000000000 + pos) AS v
+  FROM (SELECT symbol, rank, pos, provider || '.code' AS key, source_ref AS v FROM rec UNION ALL SELECT symbol, rank, pos, provider || '.k' || CAST(pos % 3 AS VARCHAR), coalesce(isin, '-') FROM rec) p GROUP BY symbol, key) f GROUP BY symbol"""
+
+
+@add("set4_merge_extras", f"WITH {RECORDS} {EXTRAS}")
 def extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).withColumn("extra", F.create_map(F.lit("code"), F.col("source_ref"), F.concat(F.lit("k"), (F.col("pos") % 3).cast("string")), F.coalesce("isin", F.lit("-"))))
     return rc.merge_extras(rows).select("symbol", F.to_json("extra").alias("extra"))
@@ -163,22 +170,25 @@ def fx_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.upsert_rates(rates.where("year(market_date) < 1999"), incoming).select("pair", "market_date", "close", "change")
 
 
-@add("snk3_theoretical_upsert")
-def theoretical_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .market import theoretical_rows
-
+def theoretical_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = theoretical_rows(spark, sf_dir)
-    fields = ("theoretical_price", "premium_discount", "local_price", "ratio_used", "fx_used", "underlying_price_used")
-    changed = rows.where("month(market_date) < 4").withColumn("fx_used", F.col("fx_used") * F.lit(2.0))
-    return up.upsert(rows.where("year(market_date) < 1999"), changed, ["instrument_id", "market_date"], values=fields, silent=("underlying_market_date", "fx_market_date")).groupBy("change").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.where("year(market_date) < 1999"), rows.where("month(market_date) < 4").withColumn("fx_used", F.col("fx_used") * F.lit(2.0))
+
+
+THEO_CHANGES = "SELECT instrument_id, market_date, CASE WHEN month(market_date) < 4 THEN fx_used * 2 ELSE fx_used END AS fx_used, CASE WHEN month(market_date) >= 4 THEN 'kept' WHEN year(market_date) < 1999 THEN 'updated' ELSE 'inserted' END AS change FROM theo WHERE year(market_date) < 1999 OR month(market_date) < 4"
+
+
+@add("snk3_theoretical_upsert", with_views(THEO_CHANGES, THEO_STEP))
+def theoretical_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = theoretical_states(spark, sf_dir)
+    return runs.theoretical_run(old, new, new)["theoretical"].select("instrument_id", "market_date", "fx_used", "change")
 
 
-STORED_SQL = "st AS (SELECT concat('S', CAST(c_custkey AS VARCHAR)) AS symbol, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'UNKNOWN' ELSE 'STOCK' END AS instrument_type, 'old' AS custodian, c_custkey % 5 > 0 AS is_active, TIMESTAMP '2026-01-01 00:00:00' AS last_seen_at FROM customer WHERE c_custkey <= 300)"
+STORED_SQL = "st AS (SELECT concat('S', CAST(c_custkey AS VARCHAR)) AS symbol, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'UNKNOWN' ELSE 'STOCK' END AS instrument_type, 'old' AS custodian, c_custkey % 5 > 0 AS is_active, TIMESTAMP '2026-01-01 00:00:00' AS last_seen_at FROM customer)"
 
 
 def stored_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").where("c_custkey <= 300")
-    return rows.selectExpr("concat('S', CAST(c_custkey AS STRING)) AS symbol", "CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name", "CASE WHEN c_custkey % 3 = 0 THEN 'UNKNOWN' ELSE 'STOCK' END AS instrument_type", "'old' AS custodian", "c_custkey % 5 > 0 AS is_active", "TIMESTAMP_NTZ '2026-01-01 00:00:00' AS last_seen_at")
+    return table(spark, sf_dir, "customer").selectExpr("concat('S', CAST(c_custkey AS STRING)) AS symbol", "CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name", "CASE WHEN c_custkey % 3 = 0 THEN 'UNKNOWN' ELSE 'STOCK' END AS instrument_type", "'old' AS custodian", "c_custkey % 5 > 0 AS is_active", "TIMESTAMP_NTZ '2026-01-01 00:00:00' AS last_seen_at")
 
 
 @add("snk4_instrument_upsert", f"""WITH {RECORDS}, {DEDUPED}, {STORED_SQL}, inc AS ({_merged_sql()})
@@ -206,17 +216,17 @@ def scd2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("snk5_rebuild_ratio", with_views("SELECT * FROM v_ratio"))
 def rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.expr("DATE '1995-01-01' + CAST((p_partkey * 37) % 2400 AS INT)")
-    seen = table(spark, sf_dir, "part").where("p_partkey <= 200").groupBy((F.col("p_partkey") % 25).cast("int").alias("instrument_id"), start.alias("day")).agg(F.max_by("p_size", "p_partkey").alias("ratio"))
+    seen = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 25).cast("int").alias("instrument_id"), start.alias("day")).agg(F.max_by("p_size", "p_partkey").alias("ratio"))
     return up.rebuild_ratios(seen)
 
 
-for _name, _rule in (("snk6_deactivate_missing", "p_partkey % 401 % 3 > 0"), ("snk6_deactivation_refused", "p_partkey % 401 % 9 = 0")):
-    _seen = f"SELECT DISTINCT concat('S', CAST(p_partkey % 401 AS VARCHAR)) AS symbol FROM part WHERE {_rule}"
+for _name, _rule in (("snk6_deactivate_missing", "c_custkey % 3 > 0"), ("snk6_deactivation_refused", "c_custkey % 9 = 0")):
+    _seen = f"SELECT DISTINCT concat('S', CAST(c_custkey AS VARCHAR)) AS symbol FROM customer WHERE {_rule}"
 
     @add(_name, f"""WITH {STORED_SQL}, seen AS ({_seen}), g AS (SELECT count_if(is_active) AS total, count_if(is_active AND symbol NOT IN (SELECT symbol FROM seen)) AS gone FROM st)
 SELECT st.symbol, st.is_active AND (st.symbol IN (SELECT symbol FROM seen) OR (g.total >= 10 AND (g.total - g.gone) / g.total < 0.5)) AS is_active FROM st, g""")
     def deactivate(spark: SparkSession, sf_dir: str, rule: str = _rule) -> DataFrame:
-        seen = table(spark, sf_dir, "part").where(rule).selectExpr("concat('S', CAST(p_partkey % 401 AS STRING)) AS symbol")
+        seen = table(spark, sf_dir, "customer").where(rule).selectExpr("concat('S', CAST(c_custkey AS STRING)) AS symbol")
         return up.deactivate_missing(stored_instruments(spark, sf_dir).select("symbol", "is_active"), seen)
 
 
@@ -261,3 +271,65 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("c4_cascade", "SELECT count(*) AS rows FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0)")
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.cascade(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_custkey % 10 = 0"), "o_custkey", "c_custkey").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- runs: their audit rows; the states are those of the writes above ----------------------------------------------------------
+
+
+def audit_sql(series: str, **counts: str) -> str:
+    return f"SELECT '{series}' AS series, 'succeeded' AS status, " + ", ".join(f"{counts.get(c, 'CAST(0 AS BIGINT)')} AS {c}" for c in runs.COUNTS)
+
+
+STALE = "(SELECT count(*) FROM st WHERE is_active AND symbol NOT IN (SELECT symbol FROM inc))"
+ABSENT = "(SELECT count(*) FROM (VALUES ('alpha'), ('beta')) e(provider) WHERE provider NOT IN (SELECT provider FROM rec))"
+ACTIVE = "(SELECT count(*) FROM (SELECT symbol FROM st WHERE is_active UNION SELECT symbol FROM inc) a)"
+
+
+def metadata(spark: SparkSession, sf_dir: str, expected: str) -> dict[str, DataFrame]:
+    rows = records(spark, sf_dir)
+    sources = spark.createDataFrame([(x,) for x in expected.split()], "provider string")
+    history = spark.createDataFrame([], "instrument_id string, effective_from date, effective_to date, ratio double")
+    return runs.metadata_run(stored_instruments(spark, sf_dir), history, [rows.where("rank = 0"), rows.where("rank = 1")], sources, day=F.lit("2026-02-01").cast("date"), seen_at=F.lit("2026-02-01 00:00:00").cast("timestamp_ntz"))
+
+
+@add("o1_metadata_run", f"WITH {RECORDS}, {DEDUPED}, {STORED_SQL}, inc AS ({_merged_sql()}) " + audit_sql(
+    "metadata", inserted="(SELECT count(*) FROM inc WHERE symbol NOT IN (SELECT symbol FROM st))", updated="(SELECT count(*) FROM inc WHERE symbol IN (SELECT symbol FROM st))",
+    warnings=ABSENT, deactivated=f"CASE WHEN {ABSENT} > 0 OR {ACTIVE} >= 10 AND ({ACTIVE} - {STALE}) / {ACTIVE} < 0.5 THEN 0 ELSE {STALE} END", rejected="(SELECT count(*) FROM ded WHERE verdict IS NOT NULL)", quarantined=f"(SELECT count(*) FROM ({_disputes}) q)"))
+def metadata_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata(spark, sf_dir, "alpha beta")["audit"]
+
+
+@add("o1_missing_source_deactivates_nothing", f"WITH {RECORDS}, {DEDUPED}, {STORED_SQL}, inc AS ({_merged_sql()}) SELECT coalesce(st.symbol, inc.symbol) AS symbol, inc.symbol IS NOT NULL OR st.is_active AS is_active FROM st FULL JOIN inc ON st.symbol = inc.symbol")
+def missing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata(spark, sf_dir, "alpha beta gamma")["instruments"].select("symbol", "is_active")
+
+
+@add("o2_price_run", with_views(audit_sql("prices", inserted="(SELECT count(*) FROM ups WHERE change = 'inserted') + (SELECT count(*) FROM v_fx WHERE year(market_date) >= 1999 AND month(market_date) IN (3, 4))",
+    updated="(SELECT count(*) FROM ups WHERE change = 'updated') + (SELECT count(*) FROM v_fx WHERE year(market_date) < 1999 AND month(market_date) = 3 AND close IS NOT NULL)", warnings="(SELECT count(*) FROM nation WHERE n_regionkey = 0)"), f"ups AS ({UPSERTED})"))
+def price_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = views.fx(spark, sf_dir).select(F.lit("USDARS").alias("pair"), F.lit("synthetic").alias("source"), "market_date", "close")
+    incoming = rates.where("month(market_date) IN (3, 4)").withColumn("close", F.when(F.month("market_date") == 3, F.col("close") * 2).otherwise(F.col("close")))
+    failures = table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_name").alias("symbol"))
+    return runs.price_run(stored_bars(spark, sf_dir), incoming_bars(spark, sf_dir), rates.where("year(market_date) < 1999"), incoming, failures)["audit"]
+
+
+@add("o3_theoretical_run", with_views(audit_sql("theoretical", inserted="(SELECT count(*) FROM chg WHERE change = 'inserted')", updated="(SELECT count(*) FROM chg WHERE change = 'updated')",
+    warnings="(SELECT count(*) FROM v_local l WHERE month(market_date) < 4 AND NOT EXISTS (SELECT 1 FROM theo t WHERE t.instrument_id = l.instrument_id AND t.market_date = l.market_date))"), THEO_STEP, f"chg AS ({THEO_CHANGES})"))
+def theoretical_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = theoretical_states(spark, sf_dir)
+    sessions = views.local_bars(spark, sf_dir).where("month(market_date) < 4").select("instrument_id", "market_date")
+    return runs.theoretical_run(old, new, sessions)["audit"]
+
+
+@add("o5_feature_run")
+def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days since 1998 are new; those before are stored."""
+    rows = snapshot_rows(spark, sf_dir)
+    stored = rows.where("market_date < DATE '1998-01-01'").withColumn("feature_version", F.lit("1.0"))
+    return runs.feature_run(stored, rows, "1.0")["audit"]
+
+
+@add("prj4_union_of_keys", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, json_extract(props, '$.other') IS NULL AS other_missing FROM events")
+def union_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ca.union_of_keys(table(spark, sf_dir, "events").select("event_id", "props"), "props", ["k", "other"])
+    return rows.select("event_id", "k", F.isnan("other").alias("other_missing"))

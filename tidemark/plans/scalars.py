@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import market_time as mt
 from ..functions import pricing as pr
 from ..functions import vocabulary as vo
+from ..operators import upsert as up
 from ..sources import domain_views as views
 from ..sources.domain_views import table, with_views
 from .registry import Registry
@@ -70,9 +71,14 @@ def parse_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, RATIOS).select("p_partkey", vo.parse_ratio(F.col("raw")).cast("double").alias("ratio"))
 
 
-@add("f6_format_ratio", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR) || ':1' ELSE '1:' || CAST(p_size AS VARCHAR) || '.5' END AS shown FROM part WHERE p_size IN (2, 4, 8) AND p_partkey % 3 = 0")
+SOME_RATIO = "CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN NULL WHEN 1 THEN CAST(p_size AS DECIMAL(20,10)) WHEN 2 THEN CAST(CAST(p_size AS DECIMAL(10,2)) / 100 AS DECIMAL(20,10)) ELSE CAST(p_size + 0.5 AS DECIMAL(20,10)) END"
+RECIPROCAL = "CAST(CAST(round(10000000000 / CAST(r AS DOUBLE)) AS BIGINT) AS DECIMAL(30,0)) * 0.0000000001"
+
+
+@add("f6_format_ratio", f"""SELECT p_partkey, CASE WHEN r IS NULL THEN NULL WHEN r = floor(r) THEN CAST(CAST(r AS BIGINT) AS VARCHAR) || ':1'
+  ELSE '1:' || rtrim(rtrim(CAST({RECIPROCAL} AS VARCHAR), '0'), '.') END AS shown FROM (SELECT p_partkey, {SOME_RATIO} AS r FROM part) t""")
 def format_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size IN (2, 4, 8) AND p_partkey % 3 = 0").select("p_partkey", vo.format_ratio(F.col("p_size")).alias("shown"))
+    return table(spark, sf_dir, "part").select("p_partkey", vo.format_ratio(F.expr(SOME_RATIO)).alias("shown"))
 
 
 @add("f7_normalise_symbol", f"SELECT p_partkey, nullif(upper({CLEAN}), '') AS symbol FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN {NAMES} ELSE chr(160) END AS raw FROM part) t")
@@ -167,9 +173,9 @@ def json_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(1)).alias("holding_period"))
 
 
-@add("f22_horizon_sessions", f"SELECT p_partkey, {mapping_sql({k: str(v) for k, v in pr.HORIZONS.items()}, 'raw')}::INT AS sessions FROM ({texts_sql([*pr.HORIZONS])}) t")
+@add("f22_horizon_sessions", "SELECT p_partkey, ([1, 5, 21, 63, 126, 252, 504])[CAST(p_partkey % 7 AS INT) + 1] AS sessions FROM part")
 def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, [*pr.HORIZONS]).select("p_partkey", vo.lookup({k: str(v) for k, v in pr.HORIZONS.items()}, F.col("raw")).cast("int").alias("sessions"))
+    return texts(spark, sf_dir, [*pr.HORIZONS]).select("p_partkey", pr.horizon_sessions(F.col("raw")).alias("sessions"))
 
 
 P = "((o_orderkey % 1000) + 0.5::DOUBLE) / 1000"
@@ -201,10 +207,13 @@ def degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(rate.isin(0.0, 1.0).alias("degenerate"))
 
 
-@add("f27_format_percent", with_views("SELECT market_date, instrument_id, CASE WHEN close IS NULL THEN '—' ELSE CAST(floor(close) AS BIGINT) || ' %' END AS shown FROM v_local"))
+PERCENT = "translate(format('{:,.1f}', round(f * 100, 1)), ',.', '.,') || chr(160) || '%'"
+
+
+@add("f27_format_percent", with_views(f"SELECT market_date, instrument_id, CASE WHEN f IS NULL THEN '—' ELSE {PERCENT} END AS shown, CASE WHEN f IS NULL THEN '—' WHEN f > 0 THEN '+' || {PERCENT} ELSE {PERCENT} END AS signed FROM (SELECT *, close / open - 1 AS f FROM v_local) t"))
 def percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.coalesce(F.concat(F.floor("close").cast("string"), F.lit(" %")), F.lit("—"))
-    return views.local_bars(spark, sf_dir).select("market_date", "instrument_id", shown.alias("shown"))
+    fraction = F.col("close") / F.col("open") - 1
+    return views.local_bars(spark, sf_dir).select("market_date", "instrument_id", pr.format_percent(fraction).alias("shown"), pr.format_percent(fraction, signed=True).alias("signed"))
 
 
 @add("f29_usable_ratio", f"SELECT p_partkey, coalesce(ratio > 0, false) AS usable FROM ({RATIO_SQL}) t")
@@ -212,11 +221,10 @@ def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, RATIOS).select("p_partkey", F.coalesce(vo.parse_ratio(F.col("raw")) > 0, F.lit(False)).alias("usable"))
 
 
-@add("f28_merge_attributes")
+@add("f28_merge_attributes", """SELECT p_partkey, concat('{"brand":"', p_brand, '","sources.type":"', p_type, '"}') AS attributes FROM part""")
 def merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, new = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("sources.type"), F.lit("old")), F.create_map(F.lit("type"), F.col("p_type"))
-    merged = F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(F.transform_keys(new, lambda a, b: F.concat(F.lit("sources."), a))), k)), F.transform_keys(new, lambda k, v: F.concat(F.lit("sources."), k)))
-    return table(spark, sf_dir, "part").select("p_partkey", F.to_json(merged).alias("attributes"))
+    old, new = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("sources.type"), F.lit("old")), F.create_map(F.lit("type"), F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.to_json(up.merge_attributes(old, new)).alias("attributes"))
 
 
 @add("f32_parse_instant", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts - INTERVAL 3 HOUR END AS instant FROM events")
