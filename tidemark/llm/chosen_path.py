@@ -362,8 +362,8 @@ def one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD, gram: int = GR
 
     Rows are known by id and text, so that of rows with one id but different texts each has its own fate.
     """
-    chosen = placed_rows(docs, threshold, gram, recall, id_col, text_col, limit, block).where("first").select(F.col("doc_id").alias("_chosen"), F.col("text_key").alias("_chosen_text"))
-    same = docs[id_col].eqNullSafe(F.col("_chosen")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_chosen_text"))
-    kept = docs.join(chosen.distinct(), same, "left_semi")
+    chosen = placed_rows(docs, threshold, gram, recall, id_col, text_col, limit, block).where("first").select(F.col("doc_id").alias("_chosen"), F.col("text_key").alias("_chosen_text")).distinct()
+    same = docs[id_col].eqNullSafe(chosen["_chosen"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == chosen["_chosen_text"])
+    kept = docs.join(chosen, same, "left_semi")
     repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
