@@ -9,7 +9,7 @@ def test_marginals_meet_the_targets(spark):
     rows = [(i, "w " * (1 + i % 7), ["web", "books", "code"][i % 3], ["en", "de"][i % 2], ["a", "b"][i % 5 % 2]) for i in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
     targets = {"source": {"web": 0.5, "books": 0.3, "code": 0.2}, "lang": {"en": 0.7, "de": 0.3}, "topic": {"a": 0.5, "b": 0.5}}
-    got = mixing.mix(d, targets=targets).cache()
+    got = mixing.mix(d, targets=targets, missing=0.0).cache()
     expected = got.withColumn("w", F.col("tokens") * F.col("probability"))
     total = expected.agg(F.sum("w")).first()[0]
     for dim, goal in targets.items():
@@ -29,6 +29,21 @@ def test_same_as_sql(spark):
     assert sorted(map(tuple, queries.op3_mixing(spark, sf).select(*names).collect())) == want
 
 
+def test_targets_that_contradict_each_other_are_an_error(spark):
+    # web is only in English, so that no weights have 0.9 of web and 0.9 of German
+    rows = [(i, "w w", ["web", "books"][i % 2], ["en", "de"][i % 2], "a") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.mix(d, targets={"source": {"web": 0.9, "books": 0.1}, "lang": {"en": 0.1, "de": 0.9}}, fit=mixing.FIT)
+
+
+def test_no_more_cells_than_fit_one_task_changes_nothing(docs, words, monkeypatch):
+    d = docs([words(10, i) for i in range(60)])
+    one = sorted(map(tuple, mixing.mix(d).collect()))
+    monkeypatch.setattr(mixing, "CELLS_AT_ONCE", 0)
+    assert sorted(map(tuple, mixing.mix(d).collect())) == one
+
+
 def test_value_without_target_gets_nothing(docs):
     got = mixing.mix(docs(["a b"] * 40), targets={"source": {"web": 1.0}})
     assert {r["source"] for r in got.where("sampled").collect()} == {"web"}

@@ -1,13 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 3), in DataFrame functions only.
 
 Token weights are summed into cells (source, language, topic). Raking multiplies the cell weights, one dimension after the
-other, by target share over present share until all three marginals fit. The ratio of a cell's raked weight to its tokens,
-scaled so that the largest is 1, is the probability with which each of its documents is kept; a hash of the document's id
-decides, so a rerun keeps the same documents. The tokens kept are then expected to have the target marginals.
-
-With that scale the rarest cell sets the yield of the whole table. `missing` bounds the ratio: the scale is then the least ratio at
-which the cells above it, kept whole (probability 1), lack at most that share of the target tokens. The distribution of the kept tokens over
-cells is then at most `missing` / (1 - `missing`) from the raked one (half the sum of absolute differences).
+other, by target share over present share until all three marginals fit. A document is kept with the probability
+min(1, ratio / scale), ratio being its cell's raked weight over its tokens; a hash of its id decides, so a rerun keeps the same
+documents. Cells with a ratio above the scale are kept whole and lack the rest of their target tokens; the scale is the least one at
+which all these together lack at most `missing` of the target tokens. So no rare cell sets the yield of the whole table, and the
+distribution of the kept tokens over cells is at most `missing` / (1 - `missing`) from the raked one (half the sum of absolute
+differences). With `missing` 0 the scale is the largest ratio.
 """
 
 from __future__ import annotations
@@ -21,11 +20,13 @@ from .common import WORD, cut, text_or_empty
 DIMENSIONS = ("source", "lang", "topic")
 #: Rounds of raking, and how far each target leans from the present shares (1) to equal shares (0).
 ROUNDS, LEAN = 8, 0.8
-#: For a sample of a corpus: the share of target tokens that cells kept whole may lack, how far the raked marginals may be from their targets
-#: (half the sum of absolute differences of shares), and the most rounds spent on that.
+#: The share of target tokens that cells kept whole may lack; for a sample of a corpus also how far the raked marginals may be from their
+#: targets (half the sum of absolute differences of shares), and the most rounds spent on that.
 MISSING, FIT, MOST_ROUNDS = 0.01, 1e-3, 80
 #: Candidates for the bound are the largest ratio times 2 ** (-k / BOUND_STEPS), k up to BOUNDS.
 BOUND_STEPS, BOUNDS = 16, 640
+#: Up to so many cells are raked in one task, where no window needs an exchange; more are dealt by their dimensions.
+CELLS_AT_ONCE = 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -68,6 +69,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, le
 
     With `fit`, rounds go on in blocks of `rounds` until no marginal is farther from its target, at most MOST_ROUNDS.
 
+    Given targets that still do not fit after MOST_ROUNDS contradict each other, which is an error.
     Values that the given targets do not name get none of the tokens; targets for values that do not occur are left out
     and the rest scaled up.
     """
@@ -85,14 +87,18 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int, le
             for d in DIMENSIONS:
                 now = F.sum("weight").over(Window.partitionBy(d))
                 cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / now).otherwise(0.0))
-            if i % 2:
+            if i % 4 == 3:
                 cells = cut(cells)
         done += max(1, rounds)
-        if fit is None or done >= MOST_ROUNDS or misfit(cells) <= fit:
+        if fit is None or misfit(cells) <= fit:
+            return cells
+        if done >= MOST_ROUNDS:
+            if targets:
+                raise ValueError(f"after {done} rounds of raking a marginal is still farther than {fit} from its target: the targets contradict each other on these cells")
             return cells
 
 
-def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, lean: float = LEAN, seed: int = 11, missing: float = 0.0, fit: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, lean: float = LEAN, seed: int = 11, missing: float = MISSING, fit: float | None = None) -> DataFrame:
     """Each document with its cell, token weight, calibrated probability and whether it is in the sample.
 
     Returns doc_id, source, lang, topic, tokens, probability, sampled.
@@ -104,6 +110,8 @@ def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None,
     """
     rows = cells_of(docs, id_col, text_col, seed)
     cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    if cells.count() <= CELLS_AT_ONCE:
+        cells = cells.coalesce(1)
     raked = cut(rake(cells, targets or {}, rounds, lean, fit).select(*DIMENSIONS, "tokens", "weight", (F.col("weight") / F.col("tokens")).alias("ratio")))
     most = raked.agg(F.max("ratio").alias("most")).first()["most"] or 1.0
     if missing > 0:
@@ -114,13 +122,13 @@ def mix(docs: DataFrame, *, targets: dict[str, dict[str, float]] | None = None,
 
 
 def sample_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents in the sample, with all their columns. Unlike `mix`, bounds what rare cells take from the yield."""
+    """The documents in the sample, with all their columns; rakes until the marginals fit."""
     id_col = options.get("id_col", "doc_id")
-    chosen = mix(docs, **{"missing": MISSING, "fit": FIT} | options).where("sampled").select(F.col("doc_id").alias("_chosen")).distinct()
+    chosen = mix(docs, **{"fit": FIT} | options).where("sampled").select(F.col("doc_id").alias("_chosen")).distinct()
     return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_chosen"]), "left_semi")
 
 
-def oracle(rounds: int = ROUNDS, lean: float = LEAN, seed: int = 11) -> str:
+def oracle(rounds: int = ROUNDS, lean: float = LEAN, seed: int = 11, missing: float = MISSING) -> str:
     """The same in ANSI SQL for DuckDB, with one step after another for the raking."""
     steps, last = [], "cells"
     for i in range(rounds):
@@ -137,6 +145,10 @@ rows_ AS (SELECT doc_id, source, lang,
   CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{seed}'), 1, 12) AS BIGINT) AS DOUBLE) / {float(1 << 48)} AS draw FROM docs),
 cells AS (SELECT source, lang, topic, sum(w) AS tokens, CAST(sum(w) AS DOUBLE) AS weight, {goals} FROM rows_ GROUP BY source, lang, topic),
 {', '.join(steps)},
-chances AS (SELECT source, lang, topic, (weight / tokens) / max(weight / tokens) OVER () AS chance FROM {last})
+raked AS (SELECT source, lang, topic, tokens, weight, weight / tokens AS ratio FROM {last}),
+bounds AS (SELECT k, (SELECT max(ratio) FROM raked) * pow(CAST(2 AS DOUBLE), -k / CAST({BOUND_STEPS} AS DOUBLE)) AS bound FROM range({BOUNDS} + 1) AS r(k)),
+lacks AS (SELECT k, bound, sum(greatest(0, weight - bound * tokens)) / sum(weight) AS lack FROM raked CROSS JOIN bounds GROUP BY k, bound),
+scale AS (SELECT min(bound) AS bound FROM lacks WHERE lack <= {missing}),
+chances AS (SELECT source, lang, topic, least(CAST(1 AS DOUBLE), ratio / (SELECT bound FROM scale)) AS chance FROM raked)
 SELECT doc_id, source, lang, topic, w AS tokens, round(chance, 9) AS probability, draw < chance AS sampled
 FROM rows_ JOIN chances USING (source, lang, topic)"""
