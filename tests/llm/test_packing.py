@@ -4,12 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import pack_bfd, pack_histogram
 from tidemark.llm.token_ids import default_path, loaded
 
+DATA = "/root/testdata/sf0.1"
 TOKENIZER = Tokenizer.from_file(default_path())
 
 
@@ -30,6 +32,12 @@ def test_ids_of_random_texts():
         assert loaded(default_path()).ids(text).tolist() == ids_of(text)[:-1], repr(text)
 
 
+def test_ids_of_whole_documents():
+    ids = loaded(default_path()).ids
+    for text in pq.read_table(f"{DATA}/documents.parquet", columns=["text"]).column(0).to_pylist():
+        assert ids(text or "").tolist() == ids_of(text)[:-1]
+
+
 @pytest.fixture
 def table(docs, words):
     return [None, "", *[words(n, n) for n in (1, 5, 40, 40, 300, 900, 2000, 5000)], *["same text here"] * 30]

@@ -1,9 +1,9 @@
-"""Token ids of documents by a public byte-level BPE vocabulary, for operators 2 and 4.
+"""Token ids of documents by `tokenizers` and a public byte-level BPE vocabulary, for operators 2 and 4.
 
-The ids are those of `tokenizers` for the same vocabulary. They are made word by word: in this kind of tokenizer no
-token crosses from a non-space character into a following space, so a text may be cut before every space that follows a
-non-space character, and the ids of the pieces, kept in a bounded table of pieces, are put together. Texts with runs
-of white space or with the strings of special tokens go through the tokenizer whole.
+The ids are made word by word: in this kind of tokenizer no token crosses from a non-space character into a following
+space, so a text may be cut before every space that follows a non-space character. The tokenizer gives the ids of each
+piece, they are kept in a bounded table of pieces, and those of a text's pieces are put together. Texts with runs of white
+space or with the strings of special tokens go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -25,42 +25,26 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def byte_of_letter() -> dict[str, int]:
-    """Byte-level BPE writes each byte as a printable letter; bytes without one take the letters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Ids:
     """`ids(text)` gives an array of unsigned 16 or 32-bit ids, without special tokens."""
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = byte_of_letter()
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.special = sorted(special)
-        self.kind = np.uint16 if max(ranks.values()) < 1 << 16 and len(ranks) + len(special) <= 1 << 16 else np.uint32
-        self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(path)
+        self.special = sorted(t["content"] for t in spec.get("added_tokens", ()))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, self.kind)
-        return np.array(self.fast.encode_ordinary(text), self.kind)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def ids(self, text: str) -> np.ndarray:
         if WHOLE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        words = [first, *rest]
         known = list(map(self.pieces.get, rest))
         if None in known:
             if len(self.pieces) > CACHE_PIECES:
@@ -68,11 +52,10 @@ class Ids:
             for i, got in enumerate(known):
                 if got is None:
                     word = rest[i]
-                    known[i] = got = np.array(self.fast.encode_ordinary(" " + word), self.kind).tobytes()
+                    known[i] = got = self.pieces.get(word) or self.whole(" " + word).tobytes()
                     if len(word) <= CACHE_CHARS:
                         self.pieces[word] = got
-        head = np.array(self.fast.encode_ordinary(words[0]), self.kind).tobytes()
-        return np.frombuffer(head + b"".join(known), self.kind)
+        return np.frombuffer(self.whole(first).tobytes() + b"".join(known), self.kind)
 
 
 @functools.lru_cache(maxsize=2)
