@@ -95,3 +95,21 @@ def union_of_keys(rows: DataFrame, json: str, names: list[str]) -> DataFrame:
     found = F.from_json(json, "map<string,string>")
     value = lambda n: F.when(F.coalesce(F.map_contains_key(found, F.lit(n)), F.lit(False)), F.try_element_at(found, F.lit(n)).try_cast("double")).otherwise(float("nan"))
     return rows.select(*[c for c in rows.columns if c != json], *[value(n).alias(n) for n in names])
+
+
+def where_equal(rows: DataFrame, **wanted: object) -> DataFrame:
+    """Rows whose columns equal the given values; a value of None asks for nothing."""
+    for name, value in wanted.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == F.lit(value))
+    return rows
+
+
+def route_venues(instruments: DataFrame) -> DataFrame:
+    """Instruments with `warning`: why the series of their underlying can't be asked for, or null.
+
+    Of several reasons the first counts: no symbol (empty or white space too), no market, market UNKNOWN.
+    """
+    blank = F.coalesce(F.trim("underlying_symbol"), F.lit("")) == ""
+    market = F.coalesce(F.col("underlying_market"), F.lit(""))
+    return instruments.withColumn("warning", F.when(blank, "no_underlying_symbol").when(market == "", "no_underlying_market").when(market == "UNKNOWN", "unknown_underlying_market"))

@@ -107,20 +107,22 @@ def medians(x: np.ndarray) -> np.ndarray:
 OUT = "position int, fold int, y int, p double, majority_p double, guess int"
 
 
-def walk_forward(rows: DataFrame, features: list[str], by: list[str], *, algorithm: str, min_train: int, test: int, step: int) -> DataFrame:
+def walk_forward(rows: DataFrame, features: list[str], by: list[str], *, algorithm: str, min_train: int | str, test: int | str, step: int | str) -> DataFrame:
     """Out-of-fold predictions of runs: each test row with label, P(up), that of the majority of its training part, and the label guessed.
 
-    Rows have `by`, `position`, `label` and the features. A fold whose training part has one class only has null predictions.
+    Rows have `by`, `position`, `label` and the features. Sizes are numbers, or names of columns that are constant in a run. A fold whose training part has one class only has null predictions.
     """
     schema = rows.select(*by).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", " + OUT
+    sizes = (min_train, test, step)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("position")
+        least, tests, ahead = (int(frame[v].iloc[0]) if isinstance(v, str) else v for v in sizes)
         x, y = frame[features].to_numpy(np.float64, na_value=np.nan), frame["label"].to_numpy(np.int64)
         x = np.where(np.isfinite(x), x, np.nan)
         parts = []
-        for fold, end in enumerate(range(min_train, len(frame) - test + 1, step)):
-            tested = slice(end, end + test)
+        for fold, end in enumerate(range(least, len(frame) - tests + 1, ahead)):
+            tested = slice(end, end + tests)
             part = frame.iloc[tested][[*by, "position"]].assign(fold=fold, y=y[tested], majority_p=float(y[:end].mean()), p=np.nan, guess=None)
             try:
                 model = make_model(algorithm).fit(x[:end], y[:end])
@@ -131,11 +133,11 @@ def walk_forward(rows: DataFrame, features: list[str], by: list[str], *, algorit
         columns = [*by, "position", "fold", "y", "p", "majority_p", "guess"]
         return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
 
-    return rows.select(*by, "position", "label", *features).groupBy(*by).applyInPandas(run, schema)
+    return rows.select(*by, "position", "label", *features, *dict.fromkeys(v for v in sizes if isinstance(v, str))).groupBy(*by).applyInPandas(run, schema)
 
 
-def train(rows: DataFrame, features: list[str], by: list[str], *, algorithm: str = "logistic", cut: int) -> DataFrame:
-    """Coefficients of a logistic model on each run's first rows (position < cut): `by`, n_train, names, weights, medians, bias, status."""
+def train(rows: DataFrame, features: list[str], by: list[str], *, algorithm: str = "logistic", cut: int | None = None) -> DataFrame:
+    """Coefficients of a logistic model on each run's first rows (position < cut; all without one): `by`, n_train, names, weights, medians, bias, status."""
     schema = rows.select(*by).schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", n_train int, names array<string>, weights array<double>, medians array<double>, bias double, status string"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +151,8 @@ def train(rows: DataFrame, features: list[str], by: list[str], *, algorithm: str
         except ValueError as e:
             return pd.DataFrame(head | {"weights": [None], "medians": [None], "bias": [np.nan], "status": [str(e)]})
 
-    return rows.where(F.col("position") < cut).select(*by, "position", "label", *features).groupBy(*by).applyInPandas(run, schema)
+    first = rows if cut is None else rows.where(F.col("position") < cut)
+    return first.select(*by, "position", "label", *features).groupBy(*by).applyInPandas(run, schema)
 
 
 def serve(models: DataFrame, rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:

@@ -89,3 +89,10 @@ def duplicated(records: DataFrame) -> DataFrame:
 def missing_sources(expected: DataFrame, records: DataFrame) -> DataFrame:
     """Expected sources (provider) without a record."""
     return expected.join(records, "provider", "left_anti")
+
+
+def rejects(judged: DataFrame) -> DataFrame:
+    """What an audit keeps of the records that a verdict turned away: source, symbol, reason and an excerpt as JSON, without the record."""
+    shown = [c for c in ("source_ref", "ratio", "underlying_symbol") if c in judged.columns]
+    detail = F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})
+    return judged.where("verdict is not null").select("provider", "symbol", F.col("verdict").alias("reason"), detail.alias("detail"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog, connect, evaluate, ingest, market, scalars
+from . import catalog, connect, evaluate, ingest, market, scalars, training
 from .registry import Query
 
-PARTS = (market, scalars, evaluate, ingest, catalog, connect)
+PARTS = (market, scalars, evaluate, ingest, catalog, connect, training)
 
 
 def queries() -> dict[str, Query]:
