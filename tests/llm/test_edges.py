@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chosen_path, exact_dedup, language_id, mixing, pack_bfd, pack_histogram, phrase_dedup, pu_quality, sharding, weighted_sampling
+from tidemark.llm import chosen_path, exact_dedup, importance, language_id, mixing, pack_bfd, pack_histogram, phrase_dedup, pu_quality, sharding, weighted_sampling
 
 LABELS = [(1, 1, 0), (2, 0, 0), (3, None, 0), (None, 1, 0), (4, 1, 0), (4, 1, 0), (6, 1, 0), (7, 0, 1), (8, 1, None)]
 
@@ -31,8 +31,9 @@ OPERATORS = {
     "phrase_dedup": lambda s, d: phrase_dedup.remove_repeats(d),
     "sharding": lambda s, d: sharding.kd_shards(d, shards=3),
     "fingerprints": lambda s, d: weighted_sampling.neighbours(d),
+    "importance": lambda s, d: importance.resample(d, d.select(F.col("doc_id").alias("item_id"), "text").limit(3)),
 }
-ONE_ROW_EACH = ["exact_dedup", "mixing", "language_id", "jaccard_join", "quality", "phrase_dedup", "sharding", "fingerprints"]
+ONE_ROW_EACH = ["exact_dedup", "mixing", "language_id", "jaccard_join", "quality", "phrase_dedup", "sharding", "fingerprints", "importance"]
 
 
 def clashing(d):
