@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chosen_path, exact_dedup, importance, language_id, mixing, pack_bfd, pack_histogram, phrase_dedup, pu_quality, sharding, url_rules, weighted_sampling
+from tidemark.llm import alignment, chosen_path, exact_dedup, importance, language_id, mixing, pack_bfd, pack_histogram, phrase_dedup, pu_quality, sharding, url_rules, weighted_sampling
 
 LABELS = [(1, 1, 0), (2, 0, 0), (3, None, 0), (None, 1, 0), (4, 1, 0), (4, 1, 0), (6, 1, 0), (7, 0, 1), (8, 1, None)]
 
@@ -31,10 +31,11 @@ OPERATORS = {
     "phrase_dedup": lambda s, d: phrase_dedup.remove_repeats(d),
     "sharding": lambda s, d: sharding.kd_shards(d, shards=3),
     "fingerprints": lambda s, d: weighted_sampling.neighbours(d),
+    "alignment": lambda s, d: alignment.align(d),
     "importance": lambda s, d: importance.resample(d, d.select(F.col("doc_id").alias("item_id"), "text").limit(3)),
     "url_rules": lambda s, d: url_rules.judge(pages_of(d), url_rules.rule_files(s.createDataFrame(url_rules.RULES, "host string, path string, verdict string"))),
 }
-ONE_ROW_EACH = ["exact_dedup", "mixing", "language_id", "jaccard_join", "quality", "phrase_dedup", "sharding", "fingerprints", "importance", "url_rules"]
+ONE_ROW_EACH = ["exact_dedup", "mixing", "language_id", "jaccard_join", "quality", "phrase_dedup", "sharding", "fingerprints", "alignment", "importance", "url_rules"]
 
 
 def clashing(d):

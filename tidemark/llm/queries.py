@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, exact_dedup, importance, language_id, mixing, pack_bfd, pack_histogram, phrase_dedup, pu_quality, sharding, url_rules, weighted_sampling
+from . import alignment, chosen_path, exact_dedup, importance, language_id, mixing, pack_bfd, pack_histogram, phrase_dedup, pu_quality, sharding, url_rules, weighted_sampling
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.neighbours(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_files(rules))
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_exact_dedup, op2_token_ids, op3_mixing, op4_packing, op5_language_id, op6_jaccard_join, op7_quality, op8_phrase_dedup, op9_sharding, op10_fingerprints, op12_url_rules, op13_importance, pipeline)
+    every = (op1_exact_dedup, op2_token_ids, op3_mixing, op4_packing, op5_language_id, op6_jaccard_join, op7_quality, op8_phrase_dedup, op9_sharding, op10_fingerprints, op11_alignment, op12_url_rules, op13_importance, pipeline)
     return {f.__name__: f for f in every}
 
 
