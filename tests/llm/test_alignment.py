@@ -94,17 +94,41 @@ def test_marks_come_from_the_vocabularies(both):
 def test_codes_of_both_widths():
     groups, a, b = [(1, 2), (2, 1)], [5, 6, 70_000], [7, 8, 9]
     code, wide = alignment.code_of(groups, a, b)
-    assert code == b"" and wide
+    assert code == b"" and wide != b""
     small, none = alignment.code_of([(1, 1)], [3], [4])
-    assert none is None
+    assert none == b""
     import numpy as np
 
-    lex = alignment.lexicon(np.array([2, 0, 1]), [code, small, b""], [wide, None, None])
+    one = alignment.packed(np.array([0]), np.array([len(small) // 2]), np.array([0]), np.frombuffer(small, "<u2"), np.zeros(0))
+    two = alignment.packed(np.array([1, 1]), np.array([0, 0]), np.array([0, len(wide) // 4]), np.zeros(0), np.frombuffer(wide, "<u4"))
+    lex = alignment.lexicon([two, one])
     assert lex.written == ["3|4", "", "5|7,8;6,70000|9"]
     assert lex.n_a.tolist() == [1, 0, 3] and lex.n_b.tolist() == [1, 0, 3] and lex.n_groups.tolist() == [1, 0, 2] and lex.n_links.tolist() == [1, 0, 4]
     assert sorted((int(x) >> 32, int(x) & 0xFFFFFFFF) for x in lex.names) == [(3, 4), (5, 7), (5, 8), (6, 9), (70_000, 9)]
 
 
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    arrays = [np.zeros(0, np.int64), np.array([5]), np.array([0, 1 << 40, 255, 256, 70_000])]
+    assert [x.tolist() for x in alignment.unpacked(alignment.packed(*arrays))] == [x.tolist() for x in arrays]
+
+
+def test_segments_that_run_over_portions(spark):
+    from pyspark.sql import functions as F
+
+    held = spark.createDataFrame([(home, at, s) for home in range(7) for at, s in enumerate([" a", " b", " naïve", " \u2581"])], "home long, at int, segment string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = alignment.aligned(held, default_path(), alignment.piece_path(), at_once=1).groupBy("home").agg(F.collect_list("data").alias("data")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 7
+    for r in rows:
+        lex = alignment.lexicon([bytes(x) for x in r["data"]])
+        assert [bool(n) for n in lex.n_groups] == [True, True, True, False]
+
+
 def test_every_document_of_the_small_table(spark, both):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sorted(table.select("doc_id", "text").collect(), key=lambda r: r["doc_id"])

@@ -10,12 +10,12 @@ and with them the groups, of the document are those of its segments in order. Th
 
 1. documents become lists of numbers of segments, numbered anew in each block of some megabytes (no shuffle); the block
    also tells which segments it holds;
-2. the distinct segments of all blocks are tokenised and aligned once each;
-3. the alignments are joined back to the blocks' segments, and each block composes its documents: counts, the digest of the groups, and the
-   distinct pairs of linked ids;
+2. the blocks' segments are sorted by their text, so that each distinct one is tokenised and aligned once, where its rows
+   meet, and its alignment goes back to every block that holds it;
+3. each block composes its documents: counts, the digest of the groups, and the distinct pairs of linked ids;
 4. pairs are counted over the blocks, and the blocks sum the counts over their documents' links.
 
-Every join is between a block's distinct segments (or pairs) and a table with one row for each, so that a frequent word costs one row a block.
+A block holds a segment (and a pair) once, so that even the most frequent one has no more rows than there are blocks.
 """
 
 from __future__ import annotations
@@ -29,21 +29,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import rows_of, stored
 from .token_ids import byte_of_letter, default_path
 
-#: A block ends once it has so many bytes of text or so many distinct segments.
-BLOCK_BYTES, BLOCK_SEGMENTS = 32 << 20, 400_000
-#: Segments that are tokenised at once.
-AT_ONCE = 4_000
+#: A block ends once it has so many characters of text, distinct segments or documents.
+BLOCK_BYTES, BLOCK_SEGMENTS, BLOCK_DOCS = 32 << 20, 400_000, 200_000
+#: Documents that travel as one row.
+CHUNK = 256
+#: Segments that are tokenised at once, and rows of segments that are sent to their blocks at once.
+AT_ONCE, ROWS_AT_ONCE = 4_000, 400_000
 #: White space before which a text may be cut, if the vocabularies allow it.
 MARKS = " \n\t\v\f\r"
-OUT = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 def piece_path() -> str:
@@ -118,81 +120,134 @@ class Tokenizers:
         return out
 
 
-def code_of(groups: list[tuple[int, int]], a: list[int], b: list[int]) -> tuple[bytes, bytes | None]:
+def code_of(groups: list[tuple[int, int]], a: list[int], b: list[int]) -> tuple[bytes, bytes]:
     """Groups and ids as 16-bit numbers, or as 32-bit ones if one does not fit: count, sizes in A, sizes in B, ids of A, ids of B."""
     values = [len(groups), *[n for n, _ in groups], *[n for _, n in groups], *a, *b]
-    return (np.array(values, "<u2").tobytes(), None) if max(values) < 1 << 16 else (b"", np.array(values, "<u4").tobytes())
+    return (np.array(values, "<u2").tobytes(), b"") if max(values) < 1 << 16 else (b"", np.array(values, "<u4").tobytes())
+
+
+# --- numbers as bytes ------------------------------------------------------------------------------------------------
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of non-negative numbers, compressed: the first bytes of all numbers, then the second ones, and so on."""
+    parts = [np.array([len(arrays), *map(len, arrays)], "<u8").tobytes(), *[np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in arrays]]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    sizes = raw[8 : 8 * (1 + int(raw[:8].view("<u8")[0]))].view("<u8").astype(int).tolist()
+    out, at = [], 8 * (1 + len(sizes))
+    for n in sizes:
+        out.append(np.ascontiguousarray(raw[at : at + 8 * n].reshape(8, n).T).view("<u8").reshape(-1).astype(np.int64))
+        at += 8 * n
+    return out
+
+
+def parts_of(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 # --- 1. documents as lists of numbers --------------------------------------------------------------------------------
 
+BLOCKS = "kind byte, block long, at int, segment string, docs array<long>, data binary"
+
 
 def in_blocks(rows: DataFrame, path_a: str, path_b: str, block_bytes: int, block_segments: int) -> DataFrame:
-    """kind, block, at, doc_id, segment, data: a row for each document (0: its numbers) and for each segment of a block (1: its number `at`)."""
+    """A row for some documents of a block (kind 0: their ids and numbers) and one for each segment (kind 1: its number `at`).
+
+    Numbers go from the most frequent segment of the block to the rarest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Tokenizers(path_a, path_b).segment.findall
-        pack = zstandard.ZstdCompressor(level=1).compress
-        block, size, known, fresh = TaskContext.get().partitionId() << 32, 0, {}, []
-        for batch in batches:
-            docs, data = [], []
-
-            def flush(docs=docs, data=data):
-                n, m = len(docs), len(fresh)
-                first = len(known) - m
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * n + [1] * m, pa.int8()), pa.array([block] * (n + m), pa.int64()), pa.array([None] * n + list(range(first, first + m)), pa.int32()),
-                     pa.array(docs + [None] * m, pa.int64()), pa.array([None] * n + fresh, pa.string()), pa.array(data + [None] * m, pa.binary())],
-                    names=["kind", "block", "at", "doc_id", "segment", "data"])
-                docs.clear(), data.clear(), fresh.clear()
-
-            waiting = 0
+        block, size = TaskContext.get().partitionId() << 32, 0
+        known: dict[str, int] = {}
+        docs: list[int | None] = []
+        lists: list[np.ndarray] = []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            times = np.zeros(len(known), np.int64)
+            for x in lists:
+                times += np.bincount(x, minlength=len(known))
+            place = np.empty(len(known), np.int64)
+            place[np.argsort(-times, kind="stable")] = np.arange(len(known))
+            chunks = [(docs[i : i + CHUNK], lists[i : i + CHUNK]) for i in range(0, len(docs), CHUNK)]
+            data = [packed(np.array([len(x) for x in some]), place[np.concatenate(some).astype(np.int64)]) for _, some in chunks]
+            n, m = len(chunks), len(known)
+            columns = [([0] * n + [1] * m, pa.int8()), ([block] * (n + m), pa.int64()), ([None] * n + place.tolist(), pa.int32()), ([None] * n + list(known), pa.string()), ([ids for ids, _ in chunks] + [None] * m, pa.list_(pa.int64())), (data + [None] * m, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+        for batch in rows_of(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                numbers = []
-                if text:
-                    for s in find(" " + text):
-                        n = known.get(s)
-                        if n is None:
-                            known[s] = n = len(known)
-                            fresh.append(s)
-                        numbers.append(n)
                 docs.append(doc)
-                data.append(pack(np.array(numbers, np.uint32).tobytes()))
+                lists.append(np.array([known.setdefault(s, len(known)) for s in find(" " + text)] if text else [], np.uint32))
                 size += len(text or "")
-                waiting += len(text or "")
-                full = size >= block_bytes or len(known) >= block_segments
-                if full or waiting > 4 << 20:
-                    yield from flush()
-                    waiting = 0
-                if full:
-                    block, size, known = block + 1, 0, {}
-            if docs or fresh:
-                yield from flush()
+                if size >= block_bytes or len(known) >= block_segments or len(docs) >= BLOCK_DOCS:
+                    yield from closed()
+                    block, size = block + 1, 0
+                    known.clear(), docs.clear(), lists.clear()
+        if docs:
+            yield from closed()
 
-    return rows.mapInArrow(run, "kind byte, block long, at int, doc_id long, segment string, data binary")
+    return rows.mapInArrow(run, BLOCKS)
 
 
 # --- 2. distinct segments --------------------------------------------------------------------------------------------
 
+PACKS = "home long, data binary"
+
 
-def aligned(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """segment, code, wide: the alignment of each segment; both codes are empty if the tokens do not spell it."""
+def aligned(held: DataFrame, path_a: str, path_b: str, at_once: int = ROWS_AT_ONCE) -> DataFrame:
+    """home, data: alignments of some segments of a block, from the rows (home, at, segment) of all blocks.
+
+    Rows are dealt and sorted by segment: a segment is tokenised where its first row is, and the last one of a portion is kept for the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers(path_a, path_b)
+        last: tuple[str, tuple[bytes, bytes]] | None = None
+        waiting: list[pa.RecordBatch] = []
+
+        def code(segment: str, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
+            groups = both.groups(segment.encode(), a, b)
+            return code_of(groups, a, b) if groups else (b"", b"")
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal last
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
+            texts, (home, at) = table.column("segment").combine_chunks(), (table.column(c).to_numpy() for c in ("home", "at"))
+            new = np.concatenate([[True], pc.not_equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False)])
+            distinct, row = texts.filter(pa.array(new)).to_pylist(), np.cumsum(new) - 1
+            known = [last[1]] if last and last[0] == distinct[0] else []
+            codes = known
+            for start in range(len(known), len(distinct), AT_ONCE):
+                some = distinct[start : start + AT_ONCE]
+                codes += [code(s, a, b) for s, a, b in zip(some, both.ids_a(some), both.ids_b(some), strict=True)]
+            last = distinct[-1], codes[-1]
+            order = np.lexsort((at, home))
+            homes, starts = np.unique(home[order], return_index=True)
+            data = []
+            for mine in np.split(order, starts[1:]):
+                narrow, wide = zip(*[codes[r] for r in row[mine].tolist()], strict=True)
+                data.append(packed(np.diff(at[mine], prepend=0), *[np.array([len(x) // w for x in some], np.int64) for some, w in ((narrow, 2), (wide, 4))], np.frombuffer(b"".join(narrow), "<u2"), np.frombuffer(b"".join(wide), "<u4")))
+            yield pa.RecordBatch.from_arrays([pa.array(homes), pa.array(data, pa.binary())], names=["home", "data"])
+
+        count = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, AT_ONCE):
-                some = batch.column(0).slice(start, AT_ONCE)
-                texts, codes, wides = some.to_pylist(), [], []
-                for s, a, b in zip(texts, both.ids_a(texts), both.ids_b(texts), strict=True):
-                    groups = both.groups(s.encode(), a, b)
-                    code, wide = code_of(groups, a, b) if groups else (b"", None)
-                    codes.append(code)
-                    wides.append(wide)
-                yield pa.RecordBatch.from_arrays([some, pa.array(codes, pa.binary()), pa.array(wides, pa.binary())], names=["segment", "code", "wide"])
+            if batch.num_rows:
+                waiting.append(batch)
+                count += batch.num_rows
+            if count >= at_once:
+                yield from sent()
+                count = 0
+        if waiting:
+            yield from sent()
 
-    return segments.mapInArrow(run, "segment string, code binary, wide binary")
+    return held.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, PACKS)
 
 
 # --- 3. documents of a block -----------------------------------------------------------------------------------------
@@ -217,11 +272,12 @@ class Lexicon(NamedTuple):
     names: np.ndarray  # id of A << 32 | id of B of each pair of the block
 
 
-def lexicon(at: np.ndarray, code: list[bytes], wide: list[bytes | None]) -> Lexicon:
-    values = np.concatenate([np.frombuffer(b"".join(code), "<u2").astype(np.int64), np.frombuffer(b"".join([w for w in wide if w]), "<u4").astype(np.int64)])
-    narrow = np.fromiter((len(c) // 2 for c in code), np.int64, len(code))
-    broad = np.fromiter((len(w) // 4 if w else 0 for w in wide), np.int64, len(wide))
-    starts = np.where(broad > 0, narrow.sum() + np.cumsum(broad) - broad, np.cumsum(narrow) - narrow)
+def lexicon(packs: list[bytes]) -> Lexicon:
+    parts = [unpacked(p) for p in packs]
+    at = np.concatenate([np.cumsum(p[0]) for p in parts] or [np.zeros(0, np.int64)])
+    narrow, broad, short, long = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (1, 2, 3, 4))
+    values = np.concatenate([short, long])
+    starts = np.where(broad > 0, len(short) + np.cumsum(broad) - broad, np.cumsum(narrow) - narrow)
     order = np.argsort(at)  # `at` holds every number of the block once
     starts, sizes = starts[order], (narrow + broad)[order]
     groups = np.where(sizes > 0, values[np.minimum(starts, max(0, len(values) - 1))] if len(values) else 0, 0)
@@ -239,7 +295,8 @@ def lexicon(at: np.ndarray, code: list[bytes], wide: list[bytes | None]) -> Lexi
 
 
 def _written(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, groups: np.ndarray) -> list[str]:
-    ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    decimal = list(map(str, range(1 + int(max(a.max(initial=0), b.max(initial=0))))))  # one string for each id
+    ids_a, ids_b = [decimal[i] for i in a.tolist()], [decimal[i] for i in b.tolist()]
     every, i, j = [], 0, 0
     for m, n in zip(size_a.tolist(), size_b.tolist(), strict=True):
         every.append(f"{','.join(ids_a[i : i + m])}|{','.join(ids_b[j : j + n])}")
@@ -259,33 +316,47 @@ def links_of(numbers: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]
     return pair, np.bincount(inverse, np.repeat(times, sizes), len(pair)).astype(np.int64)
 
 
-COMPOSED = "kind byte, block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, data binary, pair int, a int, b int, docs long"
+COMPOSED = "kind byte, block long, docs array<long>, data binary, pair int, a int, b int, n long"
 
 
-def compose(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """A block's documents (kind 0, with their pairs and links in `data`) and its pairs (kind 1, with the documents that hold them)."""
-    names = [c.split()[0] for c in COMPOSED.split(", ")]
-    kinds = [pa.int8(), pa.int64(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+def compose(docs: pa.Table, packs: pa.Table) -> pa.Table:
+    """A block's documents (kind 0: ids, sums, digests, and the pairs with their links) and its pairs (kind 1: held by n documents).
+
+    Pairs are numbered from the one that most documents hold to the rarest.
+    """
     block = docs.column("block")[0].as_py()
-    lex = lexicon(segments.column("at").to_numpy(), segments.column("code").to_pylist(), segments.column("wide").to_pylist())
-    unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-    held, rows = np.zeros(len(lex.names), np.int64), []
-    for doc, data in zip(docs.column("doc_id").to_pylist(), docs.column("data"), strict=True):
-        numbers = np.frombuffer(unpack(data.as_py()), np.uint32).astype(np.int64)
-        if not len(numbers) or (lex.n_groups[numbers] == 0).any():
-            rows.append((doc, 0, 0, 0, 0, "", b""))
-            continue
-        pair, links = links_of(numbers, lex)
-        held[pair] += 1
-        digest = hashlib.sha256(";".join(map(lex.written.__getitem__, numbers.tolist())).encode()).hexdigest()
-        sums = (int(x[numbers].sum()) for x in (lex.n_a, lex.n_b, lex.n_groups, lex.n_links))
-        packed = pack(np.concatenate([np.diff(pair, prepend=0), links]).astype(np.uint32 if links.max() < 1 << 32 else np.uint64).tobytes())
-        rows.append((doc, *sums, digest, (b"\x04" if links.max() < 1 << 32 else b"\x08") + packed))
-    pair = np.flatnonzero(held)
-    n, m = len(rows), len(pair)
-    columns = [[*x, *[None] * m] for x in zip(*rows, strict=True)]
-    own = [[None] * n + x.tolist() for x in (pair, lex.names[pair] >> 32, lex.names[pair] & 0xFFFFFFFF, held[pair])]
-    return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip([[0] * n + [1] * m, [block] * (n + m), *columns, *own], kinds, strict=True)], names=names)
+    lex = lexicon(packs.column("data").to_pylist())
+    held, made = np.zeros(len(lex.names), np.int64), []
+    for data in docs.column("data").to_pylist():
+        sizes, numbers = unpacked(data)
+        sums, digests, pairs, links = [], [], [], []
+        for mine in parts_of(numbers, sizes):
+            if not len(mine) or (lex.n_groups[mine] == 0).any():
+                sums.append([0, 0, 0, 0])
+                continue
+            pair, times = links_of(mine, lex)
+            held[pair] += 1
+            sums.append([int(x[mine].sum()) for x in (lex.n_a, lex.n_b, lex.n_groups, lex.n_links)])
+            digests.append(hashlib.sha256(";".join(map(lex.written.__getitem__, mine.tolist())).encode()).digest())
+            pairs.append(pair)
+            links.append(times)
+        made.append((np.array(sums, np.int64), b"".join(digests), pairs, links))
+    order = np.argsort(-held, kind="stable")
+    place = np.empty(len(held), np.int64)
+    place[order] = np.arange(len(held))
+    out = []
+    for sums, digests, pairs, links in made:
+        sorted_ = [(np.sort(x := place[p]), np.argsort(x)) for p in pairs]
+        none = [np.zeros(0, np.int64)]
+        numbers = packed(sums.reshape(-1), np.array([len(p) for p in pairs]), np.concatenate([np.diff(p, prepend=0) for p, _ in sorted_] or none), np.concatenate([n[at] for n, (_, at) in zip(links, sorted_, strict=True)] or none))
+        out.append(np.array([len(digests)], "<u4").tobytes() + digests + numbers)
+    n, m = len(out), int((held > 0).sum())
+    names = lex.names[order[:m]]
+    columns = [
+        ([0] * n + [1] * m, pa.int8()), ([block] * (n + m), pa.int64()), (docs.column("docs").to_pylist() + [None] * m, pa.list_(pa.int64())), (out + [None] * m, pa.binary()),
+        *[([None] * n + x.tolist(), kind) for x, kind in ((np.arange(m), pa.int32()), (names >> 32, pa.int32()), (names & 0xFFFFFFFF, pa.int32()), (held[order[:m]], pa.int64()))],
+    ]
+    return pa.Table.from_arrays([pa.array(x, kind) for x, kind in columns], names=[c.split()[0] for c in COMPOSED.split(", ")])
 
 
 # --- 4. counts of pairs ----------------------------------------------------------------------------------------------
@@ -296,16 +367,24 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 def sums(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """A block's documents with the sums over their links."""
     at = pairs.column("pair").to_numpy()
-    count, best = np.zeros(at.max(initial=-1) + 1, np.int64), np.zeros(at.max(initial=-1) + 1, np.int64)
+    count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     count[at], best[at] = pairs.column("n").to_numpy(), pairs.column("best").to_numpy()
-    unpack, n_best, count_sum = zstandard.ZstdDecompressor().decompress, [], []
-    for data in docs.column("data"):
-        data = data.as_py()
-        pair, links = np.frombuffer(unpack(data[1:]), np.uint32 if data[0] == 4 else np.uint64).astype(np.int64).reshape(2, -1) if data else np.zeros((2, 0), np.int64)
-        pair = np.cumsum(pair)
-        n_best.append(int((links * best[pair]).sum()))
-        count_sum.append(int((links * count[pair]).sum()))
-    return pa.Table.from_arrays([*[docs.column(c) for c in ("doc_id", *OUT)], pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), docs.column("groups_sha256")], names=[c.split()[0] for c in RESULT.split(", ")])
+    rows: list[tuple] = []
+    for ids, data in zip(docs.column("docs").to_pylist(), docs.column("data").to_pylist(), strict=True):
+        (size,) = np.frombuffer(data[:4], "<u4")
+        totals, sizes, steps, links = unpacked(data[4 + size :])
+        digests, parts = data[4 : 4 + size], zip(parts_of(steps, sizes), parts_of(links, sizes), strict=True)
+        k = 0
+        for doc, four in zip(ids, totals.reshape(-1, 4).tolist(), strict=True):
+            if four[2] == 0:
+                rows.append((doc, 0, 0, 0, 0, 0, 0, ""))
+                continue
+            step, times = next(parts)
+            pair = np.cumsum(step)
+            rows.append((doc, *four, int((times * best[pair]).sum()), int((times * count[pair]).sum()), digests[k : k + 32].hex()))
+            k += 32
+    kinds = [*[pa.int64()] * 7, pa.string()]
+    return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
 
 
 def align(
@@ -321,16 +400,14 @@ def align(
     a, b = path_a or default_path(), path_b or piece_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = stored(in_blocks(rows, a, b, block_bytes, block_segments))
-    held = blocks.rows.filter("kind = 1").select("block", "at", "segment")
-    alignments = stored(aligned(held.select("segment").distinct(), a, b))
-    of_block = held.join(alignments.rows, "segment").select(F.col("block").alias("home"), "at", "code", "wide")
-    listed = blocks.rows.filter("kind = 0").select("block", "doc_id", "data")
-    composed = stored(listed.groupBy("block").cogroup(of_block.groupBy("home")).applyInArrow(compose, COMPOSED))
+    packs = aligned(blocks.rows.filter("kind = 1").select(F.col("block").alias("home"), "at", "segment"), a, b)
+    listed = blocks.rows.filter("kind = 0").select("block", "docs", "data")
+    composed = stored(listed.groupBy("block").cogroup(packs.groupBy("home")).applyInArrow(compose, COMPOSED))
     blocks.drop()
-    alignments.drop()
-    pairs = composed.rows.filter("kind = 1").select("block", "pair", "a", "b", "docs")
-    totals = pairs.groupBy("a", "b").agg(F.sum("docs").alias("n"))
+    pairs = composed.rows.filter("kind = 1").select(F.col("block").alias("home"), "pair", "a", "b", "n")
+    totals = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
     most = totals.groupBy("a").agg(F.max("n").alias("most"))
-    counts = pairs.join(totals.join(most, "a").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), ["a", "b"]).select(F.col("block").alias("home"), "pair", "n", "best")
-    made = composed.rows.filter("kind = 0").select("block", "doc_id", *OUT, "groups_sha256", "data")
+    every = totals.join(most, "a").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
+    counts = pairs.drop("n").join(every, ["a", "b"]).select("home", "pair", "n", "best")
+    made = composed.rows.filter("kind = 0").select("block", "docs", "data")
     return made.groupBy("block").cogroup(counts.groupBy("home")).applyInArrow(sums, RESULT)
