@@ -39,11 +39,11 @@ from .common import rows_of, stored
 from .token_ids import byte_of_letter, default_path
 
 #: A block ends once it has so many characters of text, distinct segments or documents.
-BLOCK_BYTES, BLOCK_SEGMENTS, BLOCK_DOCS = 32 << 20, 400_000, 200_000
+BLOCK_BYTES, BLOCK_SEGMENTS, BLOCK_DOCS = 16 << 20, 200_000, 100_000
 #: Documents that travel as one row.
 CHUNK = 256
 #: Segments that are tokenised at once, and rows of segments that are sent to their blocks at once.
-AT_ONCE, ROWS_AT_ONCE = 4_000, 400_000
+AT_ONCE, ROWS_AT_ONCE = 4_000, 200_000
 #: White space before which a text may be cut, if the vocabularies allow it.
 MARKS = " \n\t\v\f\r"
 
@@ -290,8 +290,9 @@ def lexicon(packs: list[bytes]) -> Lexicon:
     group = np.repeat(np.arange(len(links)), links)
     inside = np.arange(len(group)) - np.repeat(np.cumsum(links) - links, links)
     pairs = a[from_a[group] + inside // size_b[group]] << 32 | b[from_b[group] + inside % size_b[group]]
+    del group, inside, from_a, from_b, values
     names, pair = np.unique(pairs, return_inverse=True)
-    return Lexicon(n_a, n_b, groups, _written(a, b, size_a, size_b, groups), np.cumsum(n_links) - n_links, n_links, pair.astype(np.int64), names)
+    return Lexicon(n_a, n_b, groups, _written(a, b, size_a, size_b, groups), np.cumsum(n_links) - n_links, n_links, pair.astype(np.int32), names)
 
 
 def _written(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, groups: np.ndarray) -> list[str]:
