@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import indicators as ind
 from ..functions.pricing import premium
-from .temporal import as_of
+from .temporal import as_of, overlapping
 
 VERSION = "1.0"
 # Names of the features, in order, by family.
@@ -47,8 +47,8 @@ def technical(bars: DataFrame, prefix: str) -> DataFrame:
 
 
 def fx_state(fx: DataFrame) -> DataFrame:
-    """One series: its window has a key of its own so that it is no global sort of other data."""
-    rows = fx.withColumn("_k", F.lit(0)).select("market_date", newest("close", ind.FX_BARS, "_k").alias("_c"))
+    """State of the one series of rates at each of its days, in blocks of days that overlap by a window."""
+    rows = overlapping(fx, "market_date", ind.FX_BARS - 1).select("market_date", "_guest", newest("close", ind.FX_BARS, "_block").alias("_c")).where("not _guest")
     c = F.col("_c")
     momentum = ind.back(c, 0) - ind.back(c, 20)
     values = {"fx_return_1d": ind.change(c, 1), "fx_return_5d": ind.change(c, 5), "fx_return_20d": ind.change(c, 20), "fx_volatility_20d": ind.volatility(c, 20), "fx_momentum_20d": momentum, "fx_rolling_change_5d": ind.change(c, 5)}
@@ -56,9 +56,12 @@ def fx_state(fx: DataFrame) -> DataFrame:
 
 
 def with_previous(bars: DataFrame, *by: str) -> DataFrame:
-    """Close and the close of the observation before, of bars that have one."""
-    w = Window.partitionBy(*by).orderBy("market_date")
-    return bars.where("close is not null").withColumn("prev_close", F.lag("close").over(w))
+    """Close and the close of the observation before, of bars that have one; without keys the bars are one series."""
+    closes = bars.where("close is not null")
+    if not by:
+        w = Window.partitionBy("_block").orderBy("market_date")
+        return overlapping(closes, "market_date", 1).withColumn("prev_close", F.lag("close").over(w)).where("not _guest").drop("_block", "_guest")
+    return closes.withColumn("prev_close", F.lag("close").over(Window.partitionBy(*by).orderBy("market_date")))
 
 
 def step_return(close: Column, prev: Column) -> Column:
@@ -71,7 +74,7 @@ def relative(spine: DataFrame, local: DataFrame, underlying: DataFrame, fx: Data
     rows = spine.select("instrument_id", "market_date")
     for name, series, keys, strict in (("l", with_previous(local, "instrument_id"), ["instrument_id"], False), ("u", with_previous(underlying, "instrument_id"), ["instrument_id"], True)):
         rows = as_of(rows, series, keys=keys, left_time="market_date", right_time="market_date", take={k: f"{name}{v}" for k, v in take.items()}, strict=strict)
-    rates = with_previous(fx.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    rates = with_previous(fx)
     rows = as_of(rows, rates, keys=[], left_time="market_date", right_time="market_date", take={k: f"f{v}" for k, v in take.items()}, strict=False)
     rows = as_of(rows, theoretical, keys=["instrument_id"], left_time="market_date", right_time="market_date", take={"theoretical_price": "theo"}, strict=False)
     actual, under, rate = (step_return(F.col(f"{x}c"), F.col(f"{x}p")) for x in "luf")

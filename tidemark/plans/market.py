@@ -104,7 +104,8 @@ def previous_return(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("w14_step_returns", with_views("SELECT market_date, close / lag(close) OVER (ORDER BY market_date) - 1 AS step FROM v_fx"))
 def step_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.fx(spark, sf_dir).select("market_date", (F.col("close") / F.lag("close").over(Window.orderBy("market_date")) - 1).alias("step"))
+    rows = features.with_previous(views.fx(spark, sf_dir))
+    return rows.select("market_date", (F.col("close") / F.col("prev_close") - 1).alias("step"))
 
 
 @add("w15_running_max", with_views("SELECT instrument_id, market_date, max(close) OVER (PARTITION BY instrument_id ORDER BY market_date) AS peak FROM v_local"))
@@ -135,6 +136,40 @@ def asof_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.as_of(views.local_bars(spark, sf_dir).select(*KEYS), rates, keys=[], left_time="market_date", right_time="fx_day", take={"fx_day": "fx_date", "close": "fx_close"})
 
 
+#: Events are bars of their user's instrument: the session date is up to three days off the instant's own.
+SESSIONS = "SELECT event_id, user_id, ts, CAST(CAST(ts AS DATE) + CAST(event_id % 5 - 2 AS INT) AS DATE) AS day, value FROM events"
+
+
+def dominance_sql(lag: int) -> str:
+    ranked = "SELECT a.event_id, b.event_id AS bar, b.value, row_number() OVER (PARTITION BY a.event_id ORDER BY b.day DESC, b.ts DESC, b.event_id DESC) AS n FROM s a JOIN s b ON a.user_id = b.user_id AND b.day < a.day AND b.ts < a.ts"
+    return f"WITH s AS ({SESSIONS}), r AS ({ranked}) SELECT s.event_id, r.bar, r.value FROM s LEFT JOIN r ON s.event_id = r.event_id AND n = {lag}"
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 5 - 2).cast("int"))
+    return views.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", day.alias("day"), "value")
+
+
+for _lag in (1, 3):
+
+    @add(f"j1_date_and_instant_lag{_lag}", dominance_sql(_lag))
+    def date_and_instant(spark: SparkSession, sf_dir: str, lag: int = _lag) -> DataFrame:
+        """The n-th newest session that ended before both the date and the instant of each event."""
+        rows = sessions(spark, sf_dir)
+        bars = rows.withColumnRenamed("event_id", "bar").withColumnRenamed("value", "bar_value")
+        found = temporal.dominance_as_of(rows.drop("value"), bars, keys=["user_id"], first=("day", "day"), second=("ts", "ts"), take={"bar": "bar", "bar_value": "value"}, lag=lag)
+        return found.select("event_id", "bar", "value")
+
+
+@add("j2_newest_date_before_instant", f"WITH s AS ({SESSIONS}) SELECT event_id, CAST(best.day AS DATE) AS day, best.bar AS bar FROM (SELECT event_id, max({{'day': day, 'ts': ts, 'bar': event_id}}) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS best FROM s) t")
+def newest_date_before_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series without a key: of all observations before the instant, the one with the newest date."""
+    rows = sessions(spark, sf_dir)
+    seen = rows.select(F.col("event_id").alias("bar"), "day", F.col("ts").alias("seen_at"))
+    found = temporal.as_of(rows.select("event_id", "ts"), seen, keys=[], left_time="ts", right_time="seen_at", take={"day": "day", "bar": "bar"}, best_by=["day", "seen_at", "bar"])
+    return found.select("event_id", "day", "bar")
+
+
 RATIO_JOIN = "LEFT JOIN v_ratio r ON l.instrument_id = r.instrument_id AND r.effective_from <= l.market_date AND (r.effective_to IS NULL OR r.effective_to > l.market_date)"
 
 
@@ -143,6 +178,15 @@ def ratio_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.interval(views.local_bars(spark, sf_dir).select(*KEYS), views.ratio_history(spark, sf_dir), key="instrument_id", day="market_date", value="ratio")
 
 
+@add("j3_overlapping_periods", "WITH p AS (SELECT user_id, event_id, CAST(ts AS DATE) AS a, CASE WHEN event_id % 9 > 0 THEN CAST(ts AS DATE) + CAST(1 + event_id % 4 AS INT) END AS b FROM events) SELECT e.event_id, max(p.event_id) AS period FROM (SELECT event_id, user_id, CAST(ts AS DATE) + 1 AS d FROM events) e LEFT JOIN p ON e.user_id = p.user_id AND p.a <= d AND (p.b IS NULL OR p.b > d) AND (p.a, -coalesce(p.b - DATE '1970-01-01', 1 << 30), p.event_id) = (SELECT max((q.a, -coalesce(q.b - DATE '1970-01-01', 1 << 30), q.event_id)) FROM p q WHERE q.user_id = e.user_id AND q.a <= d AND (q.b IS NULL OR q.b > d)) GROUP BY 1")
+def overlapping_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods of a user that overlap: the newest of those that hold the day."""
+    rows = views.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("date").alias("d"))
+    end = F.when(F.col("event_id") % 9 > 0, F.date_add("d", (1 + F.col("event_id") % 4).cast("int")))
+    newest = rows.select("user_id", F.col("d").alias("effective_from"), end.alias("effective_to"), F.col("event_id").alias("period"))
+    return temporal.interval(rows.withColumn("d", F.date_add("d", 1)), newest, key="user_id", day="d", value="period", overlaps=True).select("event_id", "period")
+
+
 ZONE = "CASE i.underlying_market WHEN 'NYSE' THEN 'America/New_York' WHEN 'NASDAQ_GS' THEN 'America/New_York' WHEN 'B3' THEN 'America/Sao_Paulo' WHEN 'XETRA' THEN 'Europe/Berlin' ELSE 'Europe/London' END"
 THEO_SQL = f"""SELECT l.instrument_id, l.market_date, u.close * f.close / r.ratio AS theoretical_price,
   (l.close - u.close * f.close / r.ratio) / nullif(u.close * f.close / r.ratio, 0) AS premium_discount, l.close AS local_price, r.ratio AS ratio_used,

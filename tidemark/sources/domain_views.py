@@ -52,7 +52,7 @@ def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratio_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half-open periods [effective_from, effective_to) without overlap."""
-    start = F.expr("DATE '1995-01-01' + CAST((p_partkey * 37) % 2400 AS INT)")
+    start = F.expr("DATE '1995-01-01' + CAST(FLOOR(p_partkey / 25) * 37 % 2557 AS INT)")
     by_date = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 25).cast("int").alias("instrument_id"), start.alias("effective_from")).agg(F.max_by("p_size", "p_partkey").alias("ratio"))
     w = Window.partitionBy("instrument_id").orderBy("effective_from")
     changes = by_date.withColumn("prev", F.lag("ratio").over(w)).where("prev IS NULL OR prev <> ratio")
@@ -76,7 +76,7 @@ JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, CAST(l_shipdate AS
     "v_ratio": """SELECT instrument_id, effective_from,
   lead(effective_from) OVER (PARTITION BY instrument_id ORDER BY effective_from) AS effective_to, ratio
 FROM (SELECT instrument_id, effective_from, ratio, lag(ratio) OVER (PARTITION BY instrument_id ORDER BY effective_from) AS prev
-  FROM (SELECT CAST(p_partkey % 25 AS INT) AS instrument_id, DATE '1995-01-01' + CAST((p_partkey * 37) % 2400 AS INT) AS effective_from,
+  FROM (SELECT CAST(p_partkey % 25 AS INT) AS instrument_id, DATE '1995-01-01' + CAST(floor(p_partkey / 25) * 37 % 2557 AS INT) AS effective_from,
       max_by(p_size, p_partkey) AS ratio
     FROM part GROUP BY 1, 2) a) b
 WHERE prev IS NULL OR prev <> ratio""",
