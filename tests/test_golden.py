@@ -203,12 +203,19 @@ def test_unknown_horizon_is_an_error(spark):
 
 
 def test_percentages(spark):
-    values = [(0.53, "53,0\u00a0%", "+53,0\u00a0%"), (-0.004, "-0,4\u00a0%", "-0,4\u00a0%"), (12.3456, "1.234,6\u00a0%", "+1.234,6\u00a0%"), (None, "—", "—"), (float("nan"), "—", "—"), (float("inf"), "—", "—"), (0.0, "0,0\u00a0%", "0,0\u00a0%")]
+    values = [(0.53, "53%", "+53%"), (-0.004, "-0.4%", "-0.4%"), (12.3456, "1,234.6%", "+1,234.6%"), (-0.00029, "-0%", "-0%"), (0.00029, "0%", "+0%"), (None, "—", "—"), (float("nan"), "—", "—"), (float("inf"), "—", "—"), (0.0, "0%", "0%"), (-0.0, "-0%", "-0%"), (0.1234, "12.3%", "+12.3%")]
     rows = spark.createDataFrame(values, "v double, shown string, signed string")
     for r in rows.select("shown", "signed", pr.format_percent(F.col("v")).alias("a"), pr.format_percent(F.col("v"), signed=True).alias("b")).collect():
         assert (r["a"], r["b"]) == (r["shown"], r["signed"])
 
 
+def test_amounts_and_compact_numbers(spark):
+    values = [(1234.5, "$\u00a01.234,50", "1,234.5"), (-0.083333, "-$\u00a00,08", "-0.0833"), (1000.0, "$\u00a01.000,00", "1,000"), (100.0, "$\u00a0100,00", "100"), (0.0, "$\u00a00,00", "0"), (None, "—", "—"), (float("-inf"), "—", "—")]
+    rows = spark.createDataFrame(values, "v double, amount string, compact string")
+    for r in rows.select("amount", "compact", pr.format_amount(F.col("v")).alias("a"), pr.format_compact(F.col("v")).alias("b")).collect():
+        assert (r["a"], r["b"]) == (r["amount"], r["compact"])
+
+
 def test_no_snapshot_is_an_error(spark):
     with pytest.raises(ValueError, match="snapshot"):
         runs.metadata_run(None, None, [], None, day=F.current_date(), seen_at=F.current_timestamp())

@@ -44,7 +44,11 @@ def test_same_rows_as_sql(spark, duck, name):
     assert table(got, df.columns) == table(found.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"m4_boosted_trees"}))
+#: Needs a longer history than the smallest tables have.
+LONG = {"m4_boosted_trees", "m7_trained_models", "m8_served_probability"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    """Queries that SQL cannot express; what they must give is in the golden tests."""
-    assert QUERIES[name](spark, SF).count() > 0
+    """Queries that SQL cannot express; what they must give is in the golden tests and those of the models."""
+    assert QUERIES[name](spark, SF.replace("0.001", "0.01") if name in LONG else SF).count() > 0

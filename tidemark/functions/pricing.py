@@ -63,12 +63,35 @@ def horizon_sessions(name: Column) -> Column:
     return F.coalesce(F.try_element_at(known, name), F.raise_error(F.concat(F.lit("unknown horizon: "), F.coalesce(name, F.lit("null")))).cast("int"))
 
 
+def finite(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+
+def minus(value: Column) -> Column:
+    """A minus for negative numbers, minus zero and what rounds to it included."""
+    return F.when(value.cast("string").startswith("-"), "-").otherwise("")
+
+
 def format_percent(fraction: Column, *, signed: bool = False) -> Column:
-    """A fraction as a percentage with one decimal, '.' between thousands and ',' before decimals; a dash for null and non-finite ones.
+    """A fraction as a percentage with at most one decimal and ',' between thousands; a dash for null and non-finite ones.
 
     `signed` puts a plus before positive ones.
     """
     value = fraction.cast("double")
-    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-    shown = F.concat(F.translate(F.format_number(F.round(value * 100, 1), 1), ",.", ".,"), F.lit("\u00a0%"))
-    return F.when(finite, F.concat(F.when(value > 0, "+").otherwise(""), shown) if signed else shown).otherwise("—")
+    digits = F.regexp_replace(F.format_number(F.round(F.abs(value * 100), 1), 1), r"\.0$", "")
+    shown = F.concat(minus(value), digits, F.lit("%"))
+    return F.when(finite(value), F.concat(F.when(value > 0, "+").otherwise(""), shown) if signed else shown).otherwise("—")
+
+
+def format_amount(amount: Column) -> Column:
+    """Pesos with two decimals, '.' between thousands and ',' before decimals; a dash for null and non-finite ones."""
+    value = amount.cast("double")
+    digits = F.translate(F.format_number(F.round(F.abs(value), 2), 2), ",.", ".,")
+    return F.when(finite(value), F.concat(minus(value), F.lit("$\u00a0"), digits)).otherwise("—")
+
+
+def format_compact(number: Column) -> Column:
+    """A number with at most four decimals and ',' between thousands; a dash for null and non-finite ones."""
+    value = number.cast("double")
+    digits = F.regexp_replace(F.format_number(F.round(F.abs(value), 4), 4), r"\.?0+$", "")
+    return F.when(finite(value), F.concat(minus(value), digits)).otherwise("—")

@@ -1,11 +1,15 @@
-"""Direction models: majority, seeded random, L2 logistic regression and boosted trees, and their walk-forward runs.
+"""Direction models: majority, seeded random, L2 logistic regression and second-order boosted trees, and their walk-forward runs.
 
-A run is one instrument's chronological rows, a few thousand; runs are dealt to tasks by their key and fitted there. Boosted trees
-use Spark's own learner on all rows of a table.
+A run is one instrument's chronological rows, a few thousand; runs are dealt to tasks by their key and fitted there. `trees.py` also
+fits one ensemble to all rows of a table, with histograms summed by Spark.
+
+A fitted model is an artifact: JSON that names its algorithm and holds all it needs to predict. Every algorithm of the factory can be
+trained, stored, loaded and served.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -13,8 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Seed, inverse strength of the penalty, trees, depth and rate.
-SEED, INVERSE_PENALTY, TREES, DEPTH, RATE = 7, 1.0, 100, 3, 0.1
+from .trees import NewtonTrees
+
+# Seed and inverse strength of the penalty.
+SEED, INVERSE_PENALTY = 7, 1.0
 # End of fixed values.
 
 
@@ -83,7 +89,47 @@ class Logistic:
         return (self.predict_proba(x) >= 0.5).astype(int)
 
 
-MODELS: dict[str, Callable] = {"majority": Majority, "random": SeededRandom, "logistic": Logistic}
+class BoostedTrees(NewtonTrees):
+    """Median imputation, then boosted trees with Newton leaves."""
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+        y = checked_labels(y)
+        if y.min() == y.max():
+            raise ValueError("one class only")
+        self.medians = medians(x)
+        super().fit(np.where(np.isnan(x), self.medians, x), y)
+        return self
+
+    def predict_proba(self, x: np.ndarray) -> np.ndarray:
+        if x.shape[1] != len(self.medians):
+            raise ValueError(f"{len(self.medians)} features expected, {x.shape[1]} given")
+        return super().predict_proba(np.where(np.isnan(x), self.medians, x))
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return (self.predict_proba(x) > 0.5).astype(int)
+
+
+MODELS: dict[str, Callable] = {"majority": Majority, "random": SeededRandom, "logistic": Logistic, "boosted_trees": BoostedTrees}
+#: What an artifact holds of each algorithm.
+STATE = {"majority": ("rate",), "random": ("rate",), "logistic": ("weights", "bias", "medians"), "boosted_trees": ("medians", "base", "feature", "threshold", "value")}
+
+
+def to_artifact(name: str, model) -> str:
+    return json.dumps({"algorithm": name} | {k: np.asarray(v).tolist() for k in STATE[name] for v in [getattr(model, k)]})
+
+
+def from_artifact(name: str, text: str):
+    """The model as it was stored; an artifact of another algorithm, or one that lacks something, is refused."""
+    held = json.loads(text)
+    if held.get("algorithm") != name:
+        raise ValueError(f"an artifact of {held.get('algorithm')!r}, not {name!r}")
+    missing = [k for k in STATE[name] if k not in held]
+    if missing:
+        raise ValueError(f"the artifact lacks {missing}")
+    model = make_model(name)
+    for k in STATE[name]:
+        setattr(model, k, np.asarray(held[k]) if isinstance(held[k], list) else held[k])
+    return model
 
 
 def make_model(name: str):
@@ -166,19 +212,65 @@ def serve(models: DataFrame, rows: DataFrame, features: list[str], by: list[str]
     return joined.select(*rows.columns, p.alias("p_up")).withColumn("p_down", 1 - F.col("p_up"))
 
 
-def boosted_trees(train_rows: DataFrame, test_rows: DataFrame, features: list[str], *, trees: int = TREES) -> DataFrame:
-    """Test rows with P(up) of Spark's boosted trees; nulls are the training medians."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    doubles = lambda df: df.select(*[c for c in df.columns if c not in features], *[F.col(c).cast("double").alias(c) for c in features])
-    # an empty column has no median; it is 0 everywhere and no tree splits on it
-    filled = [f"{c}_f" for c in features]
-    known = train_rows.agg(*[F.count(c).alias(c) for c in features]).first()
-    patch = {c: 0.0 for c in features if not known[c]}
-    fix = (lambda df: doubles(df).fillna(patch)) if patch else doubles
-    stages = [Imputer(inputCols=features, outputCols=filled, strategy="median", relativeError=1e-6), VectorAssembler(inputCols=filled, outputCol="_v"), GBTClassifier(featuresCol="_v", labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=SEED)]
-    fitted = Pipeline(stages=stages).fit(fix(train_rows))
-    return fitted.transform(fix(test_rows)).withColumn("p", vector_to_array("probability")[1]).drop(*filled, "_v", "rawPrediction", "probability", "prediction")
+def matrix(frame: pd.DataFrame, features: list[str]) -> np.ndarray:
+    x = frame[features].to_numpy(np.float64, na_value=np.nan)
+    return np.where(np.isfinite(x), x, np.nan)
+
+
+def _columns(rows: DataFrame, names: list[str]) -> str:
+    return rows.select(*names).schema.simpleString()[len("struct<") : -1].replace(":", " ")
+
+
+def fit(rows: DataFrame, features: list[str], by: list[str], *, algorithm: str) -> DataFrame:
+    """A model of any algorithm for each run: `by`, algorithm, n_train, names, artifact, status (trained, or why it is not)."""
+    make_model(algorithm)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("position")
+        head = {k: [frame[k].iloc[0]] for k in by} | {"algorithm": [algorithm], "n_train": [len(frame)], "names": [features]}
+        try:
+            model = make_model(algorithm).fit(matrix(frame, features), frame["label"].to_numpy(np.int64))
+            return pd.DataFrame(head | {"artifact": [to_artifact(algorithm, model)], "status": ["trained"]})
+        except ValueError as e:
+            return pd.DataFrame(head | {"artifact": [None], "status": [str(e)]})
+
+    return rows.select(*by, "position", "label", *features).groupBy(*by).applyInPandas(run, _columns(rows, by) + ", algorithm string, n_train int, names array<string>, artifact string, status string")
+
+
+def score(models: DataFrame, rows: DataFrame, features: list[str], by: list[str], order: str) -> DataFrame:
+    """`rows` of the runs that have a trained model, with p_up and p_down; a model's own order of features decides.
+
+    A model that expects features which the rows do not have is an error. What is served is checked (`checked_scores`).
+    """
+
+    def run(models: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        if not len(models) or not len(frame):
+            return pd.DataFrame(columns=[*frame.columns, "p_up"])
+        frame, m = frame.sort_values(order), models.iloc[0]
+        unknown = sorted(set(m["names"]) - set(features))
+        if unknown:
+            raise ValueError(f"the model expects {unknown}")
+        return frame.assign(p_up=from_artifact(m["algorithm"], m["artifact"]).predict_proba(matrix(frame, list(m["names"]))))
+
+    kept = models.where("status = 'trained'").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "algorithm", "names", "artifact")
+    served = kept.groupBy(*[f"_k{i}" for i in range(len(by))]).cogroup(rows.groupBy(*by)).applyInPandas(run, _columns(rows, rows.columns) + ", p_up double")
+    return checked_scores(served.withColumn("p_down", 1 - F.col("p_up")), len(features))
+
+
+def checked_scores(scores: DataFrame, width: int) -> DataFrame:
+    """`scores`, whose plan fails on a probability that is missing, outside 0 to 1, or does not make 1 with the other one."""
+    if width < 1:
+        raise ValueError("a model needs at least one feature")
+    up, down = F.col("p_up"), F.col("p_down")
+    right = F.coalesce(up.between(0, 1) & down.between(0, 1) & (F.abs(up + down - 1) < 1e-9), F.lit(False))
+    return scores.where(F.assert_true(right, F.lit("probabilities must lie in 0 to 1 and sum to 1")).isNull())
+
+
+def checked_rows(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Training rows, whose plan fails on a label other than 0 and 1, a negative position or a feature that is infinite."""
+    label = F.coalesce(F.col("label").isin(0, 1), F.lit(False))
+    finite = F.forall(F.array(*[F.col(c).cast("double") for c in features]), lambda v: v.isNull() | (F.abs(v) != float("inf")))
+    checks = [(label, "labels must be 0 or 1"), (F.coalesce(F.col("position") >= 0, F.lit(False)), "positions must not be negative"), (finite, "features must be finite")]
+    for right, message in checks:
+        rows = rows.where(F.assert_true(right, F.lit(message)).isNull())
+    return rows

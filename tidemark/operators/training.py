@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.pricing import HORIZONS
+from ..storage import cut
 from . import backtest as bt
 from . import evaluation as ev
 from . import labels, models
@@ -21,7 +22,7 @@ KEY = ["instrument_id", "horizon"]
 # Decisions of a demo backtest for each horizon.
 EPOCHS = {"1d": 252, "1w": 52, "1m": 12, "3m": 8, "6m": 6, "1y": 3, "2y": 2}
 # End of fixed values.
-MODEL_COLUMNS = ("instrument_id", "horizon", "algorithm", "feature_version", "names", "weights", "medians", "bias", "n_train", "status")
+MODEL_COLUMNS = ("instrument_id", "horizon", "algorithm", "feature_version", "names", "artifact", "n_train", "status")
 
 
 def known_horizons(horizons: list[str] | None) -> list[str]:
@@ -62,10 +63,10 @@ def sweep_plan(rows: DataFrame) -> DataFrame:
     return plan.join(facts, KEY, "left").withColumn("status", status).drop("_classes")
 
 
-def walk_forward_means(rows: DataFrame, plan: DataFrame, features: list[str]) -> DataFrame:
+def walk_forward_means(rows: DataFrame, plan: DataFrame, features: list[str], algorithm: str = "logistic") -> DataFrame:
     """Means over the folds of each run's coverable rows; null, with the number of folds, where a fold had one class to learn from."""
     inside = rows.join(plan.where("status = 'ready'").select(*KEY, "cover", "min_train", "test_size", "step"), KEY).where("position < cover")
-    tested = models.walk_forward(inside, features, KEY, algorithm="logistic", min_train="min_train", test="test_size", step="step")
+    tested = models.walk_forward(inside, features, KEY, algorithm=algorithm, min_train="min_train", test="test_size", step="step")
     by_fold = [*KEY, "fold"]
     scored = ev.classification(tested.where("p is not null"), by_fold).select(*by_fold, "balanced_accuracy")
     every = tested.select(*by_fold).distinct().join(scored, by_fold, "left")
@@ -73,10 +74,10 @@ def walk_forward_means(rows: DataFrame, plan: DataFrame, features: list[str]) ->
     return every.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_folds"), mean.alias("wf_balanced_accuracy"))
 
 
-def train_sweep(states: DataFrame, bars: DataFrame, features: list[str], *, horizons: list[str] | None = None, version: str = "1.0") -> dict[str, DataFrame]:
-    """One logistic model for each instrument and horizon, scored by walk-forward folds and once on its last window.
+def train_sweep(states: DataFrame, bars: DataFrame, features: list[str], *, horizons: list[str] | None = None, version: str = "1.0", algorithm: str = "logistic") -> dict[str, DataFrame]:
+    """One model of an algorithm for each instrument and horizon, scored by walk-forward folds and once on its last window.
 
-    Returns `models` (registry rows; the weights are the artifact), `runs` (a record for each model that was tried) and
+    Returns `models` (registry rows with their artifacts), `runs` (a record for each model that was tried) and
     `outcomes` (one row for each instrument and horizon, skipped ones too). An unknown horizon is an error. Empty states give
     empty tables. The labelled rows and
     the plan are persisted, as several steps read them.
@@ -85,11 +86,12 @@ def train_sweep(states: DataFrame, bars: DataFrame, features: list[str], *, hori
     rows = datasets(states, bars, wanted).persist()
     plan = sweep_plan(rows).persist()
     placed = rows.join(plan.where("status <> 'skipped'").select(*KEY, "test_start_at"), KEY)
-    fitted = models.train(placed.where(F.col("position") < F.col("test_start_at")).drop("test_start_at"), features, KEY).persist()
-    registry = fitted.withColumn("algorithm", F.lit("logistic")).withColumn("feature_version", F.lit(version)).select(*MODEL_COLUMNS)
-    served = models.serve(fitted, placed.where(F.col("position") >= F.col("test_start_at")).select(*KEY, F.col("label").alias("y"), *features), features, KEY)
+    fitted = models.fit(placed.where(F.col("position") < F.col("test_start_at")).drop("test_start_at"), features, KEY, algorithm=algorithm).persist()
+    registry = fitted.withColumn("feature_version", F.lit(version)).select(*MODEL_COLUMNS)
+    late = placed.where(F.col("position") >= F.col("test_start_at")).select(*KEY, "position", F.col("label").alias("y"), *features)
+    served = models.score(fitted, late, features, KEY, "position")
     scores = ev.classification(served, KEY, p="p_up").join(ev.roc_auc(served, KEY, p="p_up"), KEY)
-    folds = walk_forward_means(rows, plan, features)
+    folds = walk_forward_means(rows, plan, features, algorithm)
     tried = plan.where("status <> 'skipped'").join(fitted.select(*KEY, "n_train", F.col("status").alias("_fit")), KEY).join(scores, KEY, "left").join(folds, KEY, "left")
     good = F.col("_fit") == "trained"
     runs = tried.select(*KEY, F.when(good, "succeeded").otherwise("failed").alias("status"), "train_start", "train_end", "n_train", F.lit(len(features)).alias("n_features"), F.when(good, F.col("test_size")).alias("n_test"), "test_start", "test_end", "test_up_rate", "balanced_accuracy", "log_loss", "brier", "roc_auc", "n_folds", "wf_balanced_accuracy", F.when(~good, F.col("_fit")).alias("notes"))
@@ -105,19 +107,23 @@ def record_runs(stored: DataFrame, runs: DataFrame, at: Column) -> DataFrame:
 
 
 def save_models(registry: DataFrame, path: str) -> None:
-    """Registry rows with their artifacts (weights, medians, bias) as Parquet, partitioned by algorithm."""
-    registry.select(*MODEL_COLUMNS).write.mode("overwrite").partitionBy("algorithm").parquet(path)
+    """Registry rows with their artifacts as Parquet, partitioned by algorithm; of the algorithms among them the stored ones are replaced."""
+    registry.select(*MODEL_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("algorithm").parquet(path)
 
 
 def load_models(spark: SparkSession, path: str, *, algorithm: str = "logistic") -> DataFrame:
-    """Models as saved; a table of another shape, or one that holds another algorithm too, is refused."""
+    """Models of an algorithm as saved; a table of another shape is refused, and so is an artifact that names another algorithm."""
+    models.make_model(algorithm)
     rows = spark.read.parquet(path)
     if set(rows.columns) != set(MODEL_COLUMNS):
         raise ValueError(f"{path} holds no models: columns {sorted(rows.columns)}")
-    foreign = rows.where(F.col("algorithm") != algorithm).limit(1).collect()
+    own = rows.where(F.col("algorithm") == algorithm)
+    if own.isEmpty():
+        raise ValueError(f"{path} holds no models of {algorithm!r}")
+    foreign = own.where(F.col("artifact").isNotNull() & ~F.get_json_object("artifact", "$.algorithm").eqNullSafe(F.lit(algorithm))).limit(1).collect()
     if foreign:
-        raise ValueError(f"{path} holds models of {foreign[0]['algorithm']!r}, not {algorithm!r}")
-    return rows.select(*MODEL_COLUMNS)
+        raise ValueError(f"{path} holds an artifact that is not of {algorithm!r}: {foreign[0]['instrument_id']}, {foreign[0]['horizon']}")
+    return own.select(*MODEL_COLUMNS)
 
 
 def newest_bars(bars: DataFrame, horizons: list[str]) -> DataFrame:
@@ -142,7 +148,7 @@ def demo_backtests(registry: DataFrame, states: DataFrame, bars: DataFrame, feat
     decides = (F.col("at") % F.col("_holding") == 0) & (F.col("at") < F.col("most") - 1)
     asked = window.withColumn("decides", decides)
     vectors = asked.where("decides").select(*KEY, "market_date").join(states, ["instrument_id", "market_date"])
-    signals = models.serve(registry, vectors, features, KEY).select(*KEY, "market_date", (F.col("p_up") >= 0.5).cast("int").alias("signal"))
+    signals = models.score(registry, vectors, features, KEY, "market_date").select(*KEY, "market_date", (F.col("p_up") >= 0.5).cast("int").alias("signal"))
     known = states.select("instrument_id", "market_date").distinct().withColumn("_known", F.lit(True))
     filled = asked.join(known, ["instrument_id", "market_date"], "left").join(signals, [*KEY, "market_date"], "left")
     trained = registry.where("status = 'trained'").select(*KEY).distinct().withColumn("_model", F.lit(True))
@@ -150,7 +156,7 @@ def demo_backtests(registry: DataFrame, states: DataFrame, bars: DataFrame, feat
     reason = F.when(F.col("_model").isNull(), "no_model").when(F.col("_closes") != F.col("most"), "gappy_prices").when(F.col("_unknown") > 0, "no_snapshot")
     judged = facts.select(*KEY, "start", "end", F.when(reason.isNull(), "succeeded").otherwise("skipped").alias("status"), reason.alias("reason"))
     usable = filled.join(judged.where("status = 'succeeded'").select(*KEY), KEY, "left_semi").withColumn("signal", F.coalesce("signal", F.lit(0)))
-    packed = bt.runs(usable, KEY, "market_date", "close", "signal")
+    packed = cut(bt.runs(usable, KEY, "market_date", "close", "signal"))  # read once for each horizon
     parts = [bt.simulate(packed.where(F.col("horizon") == h), holding_period=HORIZONS[h]) for h in wanted]
     done = reduce(DataFrame.unionByName, parts)
     result = done.withColumn("total_return", F.element_at("equity", -1) / bt.CAPITAL - 1)
@@ -176,15 +182,3 @@ def ordered_vector(rows: DataFrame, *, stored: str = "names", live: str = "value
     vector = F.transform("order", lambda n: F.try_element_at(F.col(live), n).cast("double"))
     wrong = F.size("order") != expected
     return ordered.withColumn("vector", F.when(~wrong, vector)).withColumn("error", F.when(wrong, "feature_mismatch"))
-
-
-def union_of_keys(rows: DataFrame, names: list[str], values: str = "values") -> DataFrame:
-    """A column for each of `names` from JSON maps: numbers and booleans as doubles; a missing key, null or other value is null."""
-    parsed = F.try_parse_json(values)
-
-    def number(name: str) -> Column:
-        path = f"$.{name}"
-        kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
-        return F.when(kind == "BOOLEAN", F.try_variant_get(parsed, path, "boolean").cast("double")).when(kind != "STRING", F.try_variant_get(parsed, path, "double"))
-
-    return rows.select(*[c for c in rows.columns if c != values], *[number(n).alias(n) for n in names])

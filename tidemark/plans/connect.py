@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import features as fe
-from ..operators import labels, models
+from ..operators import labels, models, training
 from ..sources import catalogue_json, chart_json, html_tables
 from ..sources import domain_views as views
 from ..sources.domain_views import table, with_views
+from ..storage import cut
 from ..streaming import bars as stream
 from .ingest import RECORD
+from .market import snapshot_rows
 from .registry import Registry
 
 registry = Registry()
@@ -143,30 +145,64 @@ def random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.walk_forward(dataset(spark, sf_dir), CHOSEN[:1], ["instrument_id"], algorithm="random", **RUN)
 
 
+HORIZON = "1d"
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of each day with the label one session ahead, and the horizon's geometry."""
+    rows = labels.dataset(cut(snapshot_rows(spark, sf_dir)), views.local_bars(spark, sf_dir), HORIZON)
+    shape = labels.geometry(spark).where(F.col("horizon") == HORIZON).drop("sessions")
+    return cut(models.checked_rows(rows.withColumn("horizon", F.lit(HORIZON)).join(F.broadcast(shape), "horizon"), fe.NAMES))  # one row
+
+
+def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training rows and the last test window of each instrument, as a sweep parts them."""
+    rows = labelled(spark, sf_dir)
+    plan = training.sweep_plan(rows.drop("min_train", "test_size", "step")).where("status <> 'skipped'").select(*training.KEY, "test_start_at")
+    placed = rows.join(plan, training.KEY)
+    return placed.where("position < test_start_at"), placed.where("position >= test_start_at")
+
+
+def walked(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+    return models.walk_forward(dataset(spark, sf_dir), CHOSEN, ["instrument_id"], algorithm=algorithm, **RUN)
+
+
 @add("m3_logistic_walk_forward")
 def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.walk_forward(dataset(spark, sf_dir), CHOSEN, ["instrument_id"], algorithm="logistic", **RUN)
+    return walked(spark, sf_dir, "logistic")
+
+
+@add("m4_boosted_trees")
+def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each instrument's ensemble on its last test window."""
+    early, late = split(spark, sf_dir)
+    fitted = models.fit(early, fe.NAMES, ["instrument_id"], algorithm="boosted_trees")
+    served = models.score(fitted, late.select("instrument_id", "market_date", "label", *fe.NAMES), fe.NAMES, ["instrument_id"], "market_date")
+    return served.select("instrument_id", "market_date", "label", F.col("p_up").alias("p"))
 
 
 @add("m6_walk_forward_scores")
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logistic(spark, sf_dir).where("p is not null")
-    return ev.classification(rows, ["instrument_id", "fold"]).join(ev.roc_auc(rows, ["instrument_id", "fold"]), ["instrument_id", "fold"])
+    """Scores of every fold beside those of the majority of its training part, and the means of each instrument's folds (fold null)."""
+    by = ["instrument_id", "fold"]
+    rows = cut(walked(spark, sf_dir, "logistic").where("p is not null"))
+    own = ev.classification(rows, by).join(ev.roc_auc(rows, by), by)
+    constant = ev.classification(rows.withColumn("p", F.col("majority_p")), by).select(*by, F.col("balanced_accuracy").alias("majority_balanced_accuracy"), F.col("log_loss").alias("majority_log_loss"))
+    folds = own.join(constant, by)
+    values = [c for c in folds.columns if c not in by]
+    means = folds.groupBy("instrument_id").agg(*[F.avg(c).alias(c) for c in values])
+    return folds.select(*by, *[F.col(c).cast("double").alias(c) for c in values]).unionByName(means.withColumn("fold", F.lit(None).cast("int")))
 
 
 @add("m7_trained_models")
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.train(dataset(spark, sf_dir), CHOSEN, ["instrument_id"], cut=200)
+    return models.train(split(spark, sf_dir)[0], fe.NAMES, ["instrument_id"])
 
 
 @add("m8_served_probability")
 def served(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dataset(spark, sf_dir)
-    fitted = models.train(rows, CHOSEN, ["instrument_id"], cut=200)
-    return models.serve(fitted, rows.where("position >= 200").select("instrument_id", "market_date", *CHOSEN), CHOSEN, ["instrument_id"]).select("instrument_id", "market_date", "p_up", "p_down")
-
-
-@add("m4_boosted_trees")
-def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dataset(spark, sf_dir).cache()
-    return models.boosted_trees(rows.where("position < 200"), rows.where("position >= 200"), CHOSEN).select("instrument_id", "market_date", "label", "p")
+    """The stored model of each instrument on its last test window; the plan fails on what is no probability."""
+    early, late = split(spark, sf_dir)
+    fitted = models.train(early, fe.NAMES, ["instrument_id"])
+    found = models.serve(fitted, late.select("instrument_id", "market_date", *fe.NAMES), fe.NAMES, ["instrument_id"])
+    return models.checked_scores(found, len(fe.NAMES)).select("instrument_id", "market_date", "p_up", "p_down")

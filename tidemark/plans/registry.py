@@ -16,6 +16,8 @@ class Registry:
 
     def add(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def keep(f: Query) -> Query:
+            if name in self.queries:
+                raise ValueError(f"a query named {name} exists")
             self.queries[name] = f
             if sql is not None:
                 self.oracles[name] = sql

@@ -207,7 +207,8 @@ def degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(rate.isin(0.0, 1.0).alias("degenerate"))
 
 
-PERCENT = "translate(format('{:,.1f}', round(f * 100, 1)), ',.', '.,') || chr(160) || '%'"
+SIGN = "CASE WHEN {0} < 0 THEN '-' ELSE '' END"
+PERCENT = f"{SIGN.format('f')} || regexp_replace(format('{{:,.1f}}', round(abs(f * 100), 1)), '\\.0$', '') || '%'"
 
 
 @add("f27_format_percent", with_views(f"SELECT market_date, instrument_id, CASE WHEN f IS NULL THEN '—' ELSE {PERCENT} END AS shown, CASE WHEN f IS NULL THEN '—' WHEN f > 0 THEN '+' || {PERCENT} ELSE {PERCENT} END AS signed FROM (SELECT *, close / open - 1 AS f FROM v_local) t"))
@@ -216,6 +217,11 @@ def percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.local_bars(spark, sf_dir).select("market_date", "instrument_id", pr.format_percent(fraction).alias("shown"), pr.format_percent(fraction, signed=True).alias("signed"))
 
 
+@add("f27_format_amounts", "SELECT c_custkey, CASE WHEN c_acctbal IS NULL THEN '—' ELSE " + SIGN.format("c_acctbal") + " || '$' || chr(160) || translate(format('{:,.2f}', round(abs(c_acctbal), 2)), ',.', '.,') END AS amount, CASE WHEN c_acctbal IS NULL THEN '—' ELSE " + SIGN.format("c_acctbal") + r" || regexp_replace(format('{:,.4f}', round(abs(c_acctbal / 7), 4)), '\.?0+$', '') END AS compact FROM customer")
+def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "customer").select("c_custkey", pr.format_amount(F.col("c_acctbal")).alias("amount"), pr.format_compact(F.col("c_acctbal") / 7).alias("compact"))
+
+
 @add("f29_usable_ratio", f"SELECT p_partkey, coalesce(ratio > 0, false) AS usable FROM ({RATIO_SQL}) t")
 def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, RATIOS).select("p_partkey", F.coalesce(vo.parse_ratio(F.col("raw")) > 0, F.lit(False)).alias("usable"))

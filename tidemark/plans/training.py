@@ -11,6 +11,7 @@ from ..operators import features as fe
 from ..operators import reconcile as rc
 from ..sources import domain_views as views
 from ..sources.domain_views import table, with_views
+from ..storage import cut
 from .ingest import DEDUPED, RECORDS, deduped
 from .registry import Registry
 
@@ -21,7 +22,8 @@ CHOSEN = fe.FAMILIES["cedear_technical"]
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fe.technical(views.local_bars(spark, sf_dir), "cedear").select("instrument_id", "market_date", *CHOSEN)
+    """Local features at each session, kept: what reads them has a plan of its own size."""
+    return cut(fe.technical(views.local_bars(spark, sf_dir), "cedear").select("instrument_id", "market_date", *CHOSEN))
 
 
 # --- sweeps -------------------------------------------------------------------------------------------------------------
@@ -52,16 +54,23 @@ def sweep_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("o6_sweep_outcomes")
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = training.train_sweep(states(spark, sf_dir).cache(), views.local_bars(spark, sf_dir), CHOSEN)
+    found = training.train_sweep(states(spark, sf_dir), views.local_bars(spark, sf_dir), CHOSEN)
+    return found["outcomes"].join(found["runs"].drop("status", "notes"), training.KEY, "left")
+
+
+@add("o6_sweep_boosted_trees")
+def tree_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sweep with boosted trees, of the horizon with the largest folds."""
+    found = training.train_sweep(states(spark, sf_dir), views.local_bars(spark, sf_dir), CHOSEN, horizons=["2y"], algorithm="boosted_trees")
     return found["outcomes"].join(found["runs"].drop("status", "notes"), training.KEY, "left")
 
 
 @add("b8_demo_backtests")
 def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models of one horizon, as the sweep has them all; the closes have holes, so bars without close are left out first."""
-    state, bars = states(spark, sf_dir).cache(), views.local_bars(spark, sf_dir).where("close is not null")
-    found = training.train_sweep(state, bars, CHOSEN, horizons=["1d", "1w"])
-    return training.demo_backtests(found["models"], state, bars, CHOSEN, horizons=["1d", "1w"])["outcomes"]
+    """Models of every horizon; the closes have holes, so bars without close are left out first."""
+    state, bars = states(spark, sf_dir), views.local_bars(spark, sf_dir).where("close is not null")
+    found = training.train_sweep(state, bars, CHOSEN)
+    return training.demo_backtests(cut(found["models"]), state, bars, CHOSEN)["outcomes"]
 
 
 # --- vectors, routes and audits ---------------------------------------------------------------------------------------
@@ -79,11 +88,6 @@ def feature_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", F.when(good, F.array_join("order", ",")).alias("vector_order"), F.get("vector", F.lit(0)).alias("head"), "error")
 
 
-@add("prj4_union_of_keys", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, NULL::DOUBLE AS absent FROM events")
-def union_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.union_of_keys(table(spark, sf_dir, "events").select("event_id", "props"), ["k", "absent"], "props")
-
-
 ROUTED = {
     "symbol": "concat('S', CAST(p_partkey AS STRING))",
     "underlying_symbol": "CASE WHEN p_partkey % 11 = 0 THEN ' ' WHEN p_partkey % 13 > 0 THEN p_brand END",
