@@ -60,8 +60,8 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("o6_sweep_boosted_trees")
 def tree_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sweep with boosted trees, of the horizon with the largest folds."""
-    found = training.train_sweep(states(spark, sf_dir), views.local_bars(spark, sf_dir), CHOSEN, horizons=["2y"], algorithm="boosted_trees")
+    """The same sweep with boosted trees, of a short and of the longest horizon."""
+    found = training.train_sweep(states(spark, sf_dir), views.local_bars(spark, sf_dir), CHOSEN, horizons=["1m", "2y"], algorithm="boosted_trees")
     return found["outcomes"].join(found["runs"].drop("status", "notes"), training.KEY, "left")
 
 
