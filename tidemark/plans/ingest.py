@@ -6,16 +6,19 @@ readings of the domain views.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog as ca
 from ..operators import constraints as co
 from ..operators import reconcile as rc
-from ..operators import runs
+from ..operators import runs, sinks
 from ..operators import upsert as up
 from ..sources import domain_views as views
 from ..sources.domain_views import table, with_views
+from ..storage import shared_folder
 from .market import THEO_STEP, snapshot_rows, theoretical_rows
 from .registry import Registry
 
@@ -333,3 +336,26 @@ def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ca.union_of_keys(table(spark, sf_dir, "events").select("event_id", "props"), "props", ["k", "other"])
     return rows.select("event_id", "k", F.isnan("other").alias("other_missing"))
+
+
+# --- writes that are recorded --------------------------------------------------------------------------------------------
+
+
+@add("snk12_observed_write", with_views("SELECT 'bars' AS series, 'succeeded' AS state, count(*) AS rows, count(*) FILTER (WHERE close IS NULL) AS without_close, count(*) FILTER (WHERE volume > 0) AS traded FROM v_local"))
+def observed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars are written once; what is counted about them is observed on that write."""
+    at = f"{shared_folder(spark)}/observed-{uuid.uuid4().hex}"
+    counts = {"without_close": F.col("close").isNull(), "traded": F.col("volume") > 0}
+    sinks.observed_write(views.local_bars(spark, sf_dir), lambda df: df.write.parquet(f"{at}/bars"), series="bars", audit_path=f"{at}/audit", counts=counts)
+    return sinks.newest_states(spark.read.parquet(f"{at}/audit")).select("series", "state", *[F.col("counts")[c].alias(c) for c in ("rows", *counts)])
+
+
+@add("snk7_replaced_partitions", with_views("SELECT CAST(instrument_id AS INT) AS instrument_id, market_date, CASE WHEN instrument_id < 5 THEN close + 1 ELSE close END AS close FROM v_local"))
+def replaced_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some instruments are written again, twice; their partitions are replaced and the others stay."""
+    at = f"{shared_folder(spark)}/replaced-{uuid.uuid4().hex}"
+    rows = views.local_bars(spark, sf_dir).select("instrument_id", "market_date", "close")
+    sinks.replace_partitions(rows, at, ["instrument_id"])
+    for _ in range(2):
+        sinks.replace_partitions(rows.where("instrument_id < 5").withColumn("close", F.col("close") + 1), at, ["instrument_id"])
+    return spark.read.parquet(at).select(F.col("instrument_id").cast("int").alias("instrument_id"), "market_date", "close")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import upsert
+from ..storage import shared_folder
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,22 +32,21 @@ def without_repeats(rows: DataFrame, keys: list[str], ts: str, delay: str = "3 d
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def own_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_once(stream: DataFrame, mode: str, write) -> None:
     """Take everything that is there, batch by batch, through `write(batch, number)`."""
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_folder(spark, "stream")).trigger(availableNow=True).foreachBatch(write).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", own_folder(spark, "stream")).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
 
 
 def keep_table(stream: DataFrame, keys: list[str], values: tuple[str, ...]) -> DataFrame:
     """A table that each batch is upserted into. A batch writes a new version, so a batch that is run twice does no harm."""
     spark = stream.sparkSession
-    root = shared_folder(spark, "table")
+    root = own_folder(spark, "table")
     versions: list[str] = []
 
     def write(batch: DataFrame, number: int) -> None:
