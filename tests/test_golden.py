@@ -72,21 +72,53 @@ def reference_run(prices, signals, c, s, fraction, hp, cash=1000.0):
     return curve, trades
 
 
-@pytest.mark.parametrize("fraction,hp", [(1.0, 1), (0.5, 3)])
+def run_of(spark, prices, signals, **options):
+    rows = spark.createDataFrame([("r", i, p, s) for i, (p, s) in enumerate(zip(prices, signals))], "run string, at int, close double, signal int")
+    return bt.simulate(rows, ["run"], "at", **options)
+
+
+@pytest.mark.parametrize("fraction,hp", [(1.0, 1), (0.5, 3), (0.25, 1)])
 def test_backtest_against_a_loop(spark, fraction, hp):
     rng = np.random.default_rng(3)
     prices = (100 * np.exp(np.cumsum(rng.normal(0, 0.02, 60)))).tolist()
     signals = rng.integers(0, 2, 60).tolist()
-    df = spark.createDataFrame([(prices, signals)], "prices array<double>, signals array<int>")
-    row = bt.simulate(df, capital=1000.0, fraction=fraction, holding_period=hp).first()
+    done = run_of(spark, prices, signals, capital=1000.0, fraction=fraction, holding_period=hp)
+    row = bt.packed(done, ["run"], "at").first()
     curve, trades = reference_run(prices, signals, 0.005, 0.001, fraction, hp)
     assert row["equity"] == pytest.approx(curve)
     assert [t["exit_index"] for t in row["trades"]] == trades
+    assert len(row["positions"]) == 59 and row["prices"] == prices and row["bars"] == list(range(60))
+    # what the closed trades gained, the open position's rise and its fee are all there is
+    last = row["positions"][-1]
+    if not last:
+        assert sum(t["pnl"] for t in row["trades"]) - entry_fees(row["trades"]) == pytest.approx(curve[-1] - 1000.0)
+    assert row["total_costs"] == pytest.approx(sum(t["costs"] for t in row["trades"]) + row["open_fee"])
+    assert (row["open_fee"] > 0) == bool(last)
+
+
+def entry_fees(trades):
+    """Entry fees are costs of a trade, not part of its result."""
+    return sum(t["shares"] * t["entry_price"] * 0.005 / 0.995 for t in trades)
+
+
+def test_backtest_cases(spark):
+    """A null signal decides nothing; the last bar never trades; one bar alone is flat; holding periods may be a column."""
+    assert [r["position"] for r in run_of(spark, [1.0, 2.0, 3.0, 4.0], [1, None, 0, 1]).orderBy("at").collect()] == [1, 1, 0, 0]
+    alone = run_of(spark, [5.0], [1]).first()
+    assert (alone["position"], alone["equity"], alone["trade"], alone["open_fee"]) == (0, bt.CAPITAL, None, 0.0)
+    held = run_of(spark, [1.0, 2.0, 3.0, 4.0], [0, 1, 1, 1], holding_period=F.lit(2)).orderBy("at").collect()
+    assert [r["position"] for r in held] == [0, 0, 1, 1]
+    assert run_of(spark, [], []).count() == 0
 
 
 def test_backtest_without_costs(spark):
-    df = spark.createDataFrame([([100.0, 110.0, 121.0], [1, 1, 1])], "prices array<double>, signals array<int>")
-    assert bt.simulate(df, capital=1000.0, commission=0.0, slippage=0.0).first()["equity"][-1] == pytest.approx(1210)
+    done = run_of(spark, [100.0, 110.0, 121.0], [1, 1, 1], capital=1000.0, commission=0.0, slippage=0.0)
+    assert done.orderBy("at").collect()[-1]["equity"] == pytest.approx(1210)
+
+
+def test_backtest_has_one_exchange(spark):
+    plan = run_of(spark, [1.0, 2.0], [1, 0], fraction=0.5, holding_period=5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan
 
 
 def test_folds(spark):

@@ -1,7 +1,7 @@
 """Long/flat backtests, benchmarks and their metrics.
 
-The simulation is a fold over the bars of one run, an array; runs are independent rows, so a cluster works on as many at once
-as there are cores. A run's arrays hold its bars, a few thousand at most.
+The simulation is a set of windows over the bars of each run in order: positions carry the last decision, trades lie between entries
+and exits, and the cash is the running product of what each closed trade kept. One exchange and one sort serve all of them.
 """
 
 from __future__ import annotations
@@ -14,50 +14,58 @@ from ..functions.indicators import YEAR
 from ..functions.pricing import COMMISSION, SLIPPAGE
 
 CAPITAL = 1_000_000.0
-TRADE = "array<struct<entry_index:int,exit_index:int,entry_price:double,exit_price:double,shares:double,costs:double,pnl:double>>"
 
 
-def runs(rows: DataFrame, by: list[str], order: str, price: str, signal: str) -> DataFrame:
-    """Arrays of prices and of signals (one a bar) for each run, in order."""
-    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, F.col(price).cast("double").alias("p"), F.col(signal).cast("int").alias("s")))).alias("b"))
-    return packed.select(*by, F.col("b.p").alias("prices"), F.col("b.s").alias("signals"), F.col(f"b.{order}").alias("bars"))
+def simulate(rows: DataFrame, by: list[str], order: str, *, price: str = "close", signal: str = "signal", capital: float = CAPITAL, commission: float = COMMISSION, slippage: float = SLIPPAGE, fraction: float = 1.0, holding_period: int | Column = 1) -> DataFrame:
+    """Adds to each bar: bar_index, position (after its decision), equity (at its close), trade (where one closes), costs, open_fee.
 
-
-def simulate(df: DataFrame, *, prices: str = "prices", signals: str = "signals", capital: float = CAPITAL, commission: float = COMMISSION, slippage: float = SLIPPAGE, fraction: float = 1.0, holding_period: int = 1) -> DataFrame:
-    """Adds equity (array), positions (array), trades (array of structs), total_costs and open_fee to runs.
-
-    The signal of bar i decides at its close, if i is a multiple of the holding period. An entry puts `fraction` of the cash
-    into shares, an exit sells all; the last bar never trades, and an open position is marked at its close.
+    The signal of bar i decides at its close, if i is a multiple of the holding period; a null signal decides nothing. An entry
+    puts `fraction` of the cash into shares, an exit sells all; the last bar never trades, and an open position is marked at its
+    close. `costs` are those paid at the bar; `open_fee` is the entry fee of a position that the last bar still holds, else 0.
     """
-    p, s = F.col(prices), F.col(signals)
-    d = F.lit(0.0)
-    start = F.struct(
-        F.lit(capital).alias("cash"), d.alias("shares"), F.lit(-1).alias("at"), d.alias("paid"), d.alias("stake"), d.alias("fee"), d.alias("costs"),
-        F.array(F.lit(capital)).alias("equity"), F.array().cast("array<int>").alias("positions"), F.array().cast(TRADE).alias("trades"),
+    w = Window.partitionBy(*by).orderBy(order)
+    sofar, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    p = F.col(price).cast("double")
+    every = F.lit(holding_period) if isinstance(holding_period, int) else holding_period
+    bars = rows.withColumn("bar_index", (F.row_number().over(w) - 1).cast("int")).withColumn("_last", F.lead(order).over(w).isNull())
+    decision = F.when((F.col("bar_index") % every == 0) & ~F.col("_last"), (F.col(signal) == 1).cast("int"))
+    bars = bars.withColumn("position", F.coalesce(F.last(decision, ignorenulls=True).over(sofar), F.lit(0)))
+    bars = bars.withColumn("_before", F.coalesce(F.lag("position").over(w), F.lit(0)))
+    enters, leaves = F.col("position") > F.col("_before"), F.col("position") < F.col("_before")
+    entry = F.last(F.when(enters, F.struct(F.col("bar_index").alias("i"), (p * (1 + slippage)).alias("paid"))), ignorenulls=True)
+    bars = bars.withColumn("_entry", entry.over(sofar)).withColumn("_sold", p * (1 - slippage))
+    shares = fraction * (1 - commission) / F.col("_entry.paid")  # for each unit of the cash before the entry
+    kept = F.when(leaves, F.ln(1 - fraction + shares * F.col("_sold") * (1 - commission)))
+    bars = bars.withColumn("_cash", capital * F.exp(F.coalesce(F.sum(kept).over(earlier), F.lit(0.0))))
+    fee = F.col("_cash") * fraction * commission
+    proceeds = F.col("_cash") * shares * F.col("_sold")
+    out = proceeds * commission
+    trade = F.struct(
+        F.col("_entry.i").alias("entry_index"), F.col("bar_index").alias("exit_index"), F.col("_entry.paid").alias("entry_price"), F.col("_sold").alias("exit_price"),
+        (F.col("_cash") * shares).alias("shares"), (fee + out).alias("costs"), ((proceeds - out) - (F.col("_cash") * fraction - fee)).alias("pnl"),
     )
+    return bars.select(
+        *rows.columns,
+        "bar_index",
+        "position",
+        (F.col("_cash") * F.when(F.col("_before") == 1, 1 - fraction + shares * p).otherwise(1.0)).alias("equity"),
+        F.when(leaves, trade).alias("trade"),
+        F.when(enters, fee).when(leaves, out).otherwise(0.0).alias("costs"),
+        F.when(F.col("_last") & (F.col("position") == 1), fee).otherwise(0.0).alias("open_fee"),
+    )
+
+
+def trades(simulated: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each closed trade."""
+    return simulated.where("trade IS NOT NULL").select(*by, "trade.*")
+
 
-    def step(st: Column, i: Column) -> Column:
-        close, target = F.element_at(p, i + 1), F.element_at(s, i + 1)
-        decides, holds = i % holding_period == 0, st["shares"] > 0
-        enter, leave = decides & (target == 1) & ~holds & (st["cash"] > 0), decides & (target != 1) & holds
-        gross, bought = st["cash"] * fraction, close * (1 + slippage)
-        fee = gross * commission
-        sold = close * (1 - slippage)
-        proceeds = st["shares"] * sold
-        out = proceeds * commission
-        pick = lambda name, when_in, when_out: F.when(enter, when_in).when(leave, when_out).otherwise(st[name]).alias(name)
-        shares = F.when(enter, (gross - fee) / bought).when(leave, d).otherwise(st["shares"])
-        cash = F.when(enter, st["cash"] - gross).when(leave, st["cash"] + (proceeds - out)).otherwise(st["cash"])
-        trade = F.struct(st["at"].alias("entry_index"), i.cast("int").alias("exit_index"), st["paid"].alias("entry_price"), sold.alias("exit_price"), st["shares"].alias("shares"), (st["fee"] + out).alias("costs"), ((proceeds - out) - st["stake"]).alias("pnl"))
-        return F.struct(
-            cash.alias("cash"), shares.alias("shares"), pick("at", i.cast("int"), F.lit(-1)), pick("paid", bought, d), pick("stake", gross - fee, d), pick("fee", fee, d),
-            (st["costs"] + F.when(enter, fee).when(leave, out).otherwise(d)).alias("costs"),
-            F.concat(st["equity"], F.array(cash + shares * F.element_at(p, i + 2))).alias("equity"), F.concat(st["positions"], F.array((shares > 0).cast("int"))).alias("positions"),
-            F.when(leave, F.concat(st["trades"], F.array(trade).cast(TRADE))).otherwise(st["trades"]).alias("trades"),
-        )
-
-    end = F.aggregate(F.when(F.size(p) >= 2, F.sequence(F.lit(0), F.size(p) - 2)).otherwise(F.array().cast("array<int>")), start, step)
-    return df.withColumn("_end", end).select(*df.columns, F.col("_end.equity").alias("equity"), F.col("_end.positions").alias("positions"), F.col("_end.trades").alias("trades"), F.col("_end.costs").alias("total_costs"), F.when(F.col("_end.shares") > 0, F.col("_end.fee")).otherwise(0.0).alias("open_fee"))
+def packed(simulated: DataFrame, by: list[str], order: str, *, price: str = "close", signal: str = "signal") -> DataFrame:
+    """One row a run, as it is stored: bars, prices, signals, equity, positions (all but the last bar's), trades, total_costs, open_fee."""
+    bar = F.struct(order, F.col(price).cast("double").alias("p"), F.col(signal).cast("int").alias("s"), F.col("equity").alias("e"), F.col("position").alias("h"), F.col("trade").alias("t"))
+    runs = simulated.groupBy(*by).agg(F.array_sort(F.collect_list(bar), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)).alias("b"), F.sum("costs").alias("total_costs"), F.sum("open_fee").alias("open_fee"))
+    arrays = {"prices": F.col("b.p"), "signals": F.col("b.s"), "bars": F.col(f"b.{order}"), "equity": F.col("b.e"), "positions": F.slice(F.col("b.h"), 1, F.size("b") - 1), "trades": F.array_compact(F.col("b.t"))}
+    return runs.select(*by, *[c.alias(n) for n, c in arrays.items()], "total_costs", "open_fee")
 
 
 def growth(rows: DataFrame, by: list[str], order: str, *, price: str = "close", signal: str = "signal", commission: float = COMMISSION, slippage: float = SLIPPAGE) -> DataFrame:
@@ -94,22 +102,19 @@ def curve_metrics(curve: DataFrame, by: list[str], order: str, equity: str = "eq
     return total.select(*by, F.col("_gain").alias("growth"), F.col("_n").alias("steps"), (F.col("_gain") - 1).alias("total_return"), (F.pow("_gain", YEAR / F.col("_n")) - 1).alias("annualised_return"), (F.col("_std") * year).alias("volatility"), (F.col("_mean") / F.col("_std") * year).alias("sharpe"), "max_drawdown")
 
 
-def trade_metrics(df: DataFrame, by: list[str]) -> DataFrame:
+def trade_metrics(simulated: DataFrame, by: list[str]) -> DataFrame:
     """Win rate, mean result, profit factor and count of each run's closed trades, and its costs."""
-    pnl = F.col("trades.pnl")
-    n = F.size(pnl)
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    wins, losses = F.filter(pnl, lambda x: x > 0), F.filter(pnl, lambda x: x < 0)
-    known = lambda v: F.when(n > 0, v)
-    loss = -total(losses)
-    return df.select(*by, known(F.size(wins) / n).alias("win_rate"), n.alias("trade_count"), known(total(pnl) / n).alias("average_trade"), known(F.when(loss > 0, total(wins) / F.nullif(loss, F.lit(0.0)))).alias("profit_factor"), "total_costs")
+    pnl = F.col("trade.pnl")
+    loss = -F.sum(F.when(pnl < 0, pnl))
+    won = F.coalesce(F.sum(F.when(pnl > 0, pnl)), F.lit(0.0))
+    return simulated.groupBy(*by).agg(F.avg((pnl > 0).cast("int")).alias("win_rate"), F.count(pnl).cast("int").alias("trade_count"), F.avg(pnl).alias("average_trade"), (won / loss).alias("profit_factor"), F.sum("costs").alias("total_costs"))
 
 
-def usd(df: DataFrame, rates: str = "rates") -> DataFrame:
+def usd(simulated: DataFrame, by: list[str], order: str, rate: str = "rate") -> DataFrame:
     """Costs and results in dollars: each closed trade at the rate of its exit, the fee of an open position at the last rate."""
-    rate = lambda t: F.element_at(F.col(rates), t["exit_index"] + 1)
-    total = lambda f: F.aggregate(F.transform("trades", f), F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn("costs_usd", total(lambda t: t["costs"] / rate(t)) + F.col("open_fee") / F.element_at(F.col(rates), -1)).withColumn("pnl_usd", total(lambda t: t["pnl"] / rate(t)))
+    at = F.col(rate)
+    costs = F.coalesce(F.sum(F.col("trade.costs") / at), F.lit(0.0)) + F.max_by(F.col("open_fee") / at, order)
+    return simulated.groupBy(*by).agg(costs.alias("costs_usd"), F.coalesce(F.sum(F.col("trade.pnl") / at), F.lit(0.0)).alias("pnl_usd"))
 
 
 def validate(df: DataFrame, prices: str = "prices", signals: str = "signals", holding_period: int = 1, most: int = 5000) -> DataFrame:

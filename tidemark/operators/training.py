@@ -156,10 +156,8 @@ def demo_backtests(registry: DataFrame, states: DataFrame, bars: DataFrame, feat
     reason = F.when(F.col("_model").isNull(), "no_model").when(F.col("_closes") != F.col("most"), "gappy_prices").when(F.col("_unknown") > 0, "no_snapshot")
     judged = facts.select(*KEY, "start", "end", F.when(reason.isNull(), "succeeded").otherwise("skipped").alias("status"), reason.alias("reason"))
     usable = filled.join(judged.where("status = 'succeeded'").select(*KEY), KEY, "left_semi").withColumn("signal", F.coalesce("signal", F.lit(0)))
-    packed = cut(bt.runs(usable, KEY, "market_date", "close", "signal"))  # read once for each horizon
-    parts = [bt.simulate(packed.where(F.col("horizon") == h), holding_period=HORIZONS[h]) for h in wanted]
-    done = reduce(DataFrame.unionByName, parts)
-    result = done.withColumn("total_return", F.element_at("equity", -1) / bt.CAPITAL - 1)
+    runs = cut(bt.packed(bt.simulate(usable, KEY, "market_date", holding_period=F.col("_holding")), KEY, "market_date"))  # read by both results
+    result = runs.withColumn("total_return", F.element_at("equity", -1) / bt.CAPITAL - 1)
     outcomes = judged.join(result.select(*KEY, "total_return", F.size("trades").alias("trades")), KEY, "left")
     return {"backtests": result.join(judged.select(*KEY, "start", "end"), KEY), "outcomes": outcomes}
 

@@ -90,12 +90,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simulated(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return bt.simulate(bt.runs(bars(spark, sf_dir), ["instrument_id"], "market_date", "close", "signal"), **options)
+    return bt.simulate(bars(spark, sf_dir), ["instrument_id"], "market_date", **options)
 
 
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.arrays_zip(F.col("bars").alias("market_date"), F.col("equity").alias("equity"))
-    return simulated(spark, sf_dir).select("instrument_id", F.inline(pairs))
+    return simulated(spark, sf_dir).select("instrument_id", "market_date", "equity")
 
 
 @add("b1_backtest_equity", with_views("SELECT instrument_id, market_date, round(ln(equity / 1e6), 6) AS log_growth FROM eq", GROWTH))
@@ -177,22 +176,42 @@ def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("b1_trades", with_views("SELECT instrument_id, CAST(entry_bar AS INT) AS entry_index, CAST(exit_bar AS INT) AS exit_index, round(gain, 6) AS gain FROM tr", GROWTH, TRADES))
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulated(spark, sf_dir).select("instrument_id", F.inline("trades")).select("instrument_id", "entry_index", "exit_index", F.round(F.col("pnl") / (F.col("shares") * F.col("entry_price")), 6).alias("gain"))
+    return bt.trades(simulated(spark, sf_dir), ["instrument_id"]).select("instrument_id", "entry_index", "exit_index", F.round(F.col("pnl") / (F.col("shares") * F.col("entry_price")), 6).alias("gain"))
 
 
-@add("a18_usd_results")
+def fold_sql(bars_sql: str, fraction: float, every: int) -> str:
+    """SQL for the bars of a simulation: what is held, the entry's bar, the cash before each bar's decision."""
+    return f"""n0 AS (SELECT *, row_number() OVER w - 1 AS i, lead(market_date) OVER w IS NULL AS last FROM {bars_sql} b WINDOW w AS (PARTITION BY instrument_id ORDER BY market_date)),
+n1 AS (SELECT *, coalesce(last_value(CASE WHEN i % {every} = 0 AND NOT last THEN signal END IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY i), 0) AS held FROM n0),
+n2 AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY instrument_id ORDER BY i), 0) AS before FROM n1),
+n3 AS (SELECT *, last_value(CASE WHEN held > before THEN close * (1 + 0.001::DOUBLE) END IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY i) AS paid FROM n2),
+n4 AS (SELECT *, 1e6::DOUBLE * coalesce(product(CASE WHEN held < before THEN 1 - {fraction}::DOUBLE + {fraction}::DOUBLE * (1 - 0.005::DOUBLE) / paid * close * (1 - 0.001::DOUBLE) * (1 - 0.005::DOUBLE) END) OVER (PARTITION BY instrument_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS cash FROM n3),
+sim AS (SELECT *, cash * CASE WHEN before = 1 THEN 1 - {fraction}::DOUBLE + {fraction}::DOUBLE * (1 - 0.005::DOUBLE) / paid * close ELSE 1 END AS equity, cash * {fraction}::DOUBLE * 0.005::DOUBLE AS fee,
+  cash * {fraction}::DOUBLE * (1 - 0.005::DOUBLE) / paid * close * (1 - 0.001::DOUBLE) AS proceeds FROM n4)"""
+
+
+RATED = f"(SELECT b.*, f.close AS rate FROM {BARS} b JOIN v_fx f ON b.market_date = f.market_date)"
+USD = """SELECT instrument_id, round(ln(costs / 1e6), 6) AS log_costs, round(pnl / costs, 4) AS pnl_to_costs FROM (SELECT instrument_id,
+  coalesce(sum(CASE WHEN held < before THEN (fee + proceeds * 0.005::DOUBLE) / rate END), 0) + sum(CASE WHEN last AND held = 1 THEN fee / rate ELSE 0 END) AS costs,
+  coalesce(sum(CASE WHEN held < before THEN (proceeds * (1 - 0.005::DOUBLE) - fee * (1 - 0.005::DOUBLE) / 0.005::DOUBLE) / rate END), 0) AS pnl FROM sim GROUP BY instrument_id) t"""
+
+
+@add("a18_usd_results", with_views(USD, fold_sql(RATED, 1.0, 1)))
 def usd_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = views.fx(spark, sf_dir).withColumnRenamed("close", "rate")
     joined = bars(spark, sf_dir).join(rates, "market_date")
-    packed = joined.groupBy("instrument_id").agg(F.sort_array(F.collect_list(F.struct("market_date", "close", "signal", "rate"))).alias("b"))
-    runs = packed.select("instrument_id", F.col("b.close").alias("prices"), F.col("b.signal").alias("signals"), F.col("b.rate").alias("rates"))
-    return bt.usd(bt.simulate(runs)).select("instrument_id", "costs_usd", "pnl_usd")
+    found = bt.usd(bt.simulate(joined, ["instrument_id"], "market_date"), ["instrument_id"], "market_date")
+    return found.select("instrument_id", F.round(F.ln(F.col("costs_usd") / 1e6), 6).alias("log_costs"), F.round(F.col("pnl_usd") / F.col("costs_usd"), 4).alias("pnl_to_costs"))
+
+
+HALF = "SELECT instrument_id, market_date, CAST(held AS INT) AS position, round(ln(equity / 1e6), 6) AS log_growth, round(ln(CASE WHEN held > before THEN fee WHEN held < before THEN proceeds * 0.005::DOUBLE END), 6) AS log_costs FROM sim"
 
 
-@add("b1_half_position")
+@add("b1_half_position", with_views(HALF, fold_sql(BARS, 0.5, 5)))
 def half_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the cash at each entry, decisions every fifth bar."""
-    return simulated(spark, sf_dir, fraction=0.5, holding_period=5).select("instrument_id", F.element_at("equity", -1).alias("equity"), F.size("trades").alias("trades"), "total_costs")
+    rows = simulated(spark, sf_dir, fraction=0.5, holding_period=5)
+    return rows.select("instrument_id", "market_date", "position", F.round(F.ln(F.col("equity") / 1e6), 6).alias("log_growth"), F.round(F.ln(F.when(F.col("costs") > 0, F.col("costs"))), 6).alias("log_costs"))
 
 
 @add("b7_window_checks", with_views("SELECT instrument_id, CASE WHEN count(*) < 2 THEN 'too_few_bars' WHEN count(*) > 5000 THEN 'too_many_bars' WHEN count(close) < count(*) THEN 'bad_price' WHEN (count(*) - 1) % 5 <> 0 THEN 'signal_count' END AS error FROM v_local GROUP BY instrument_id"))
