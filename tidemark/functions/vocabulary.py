@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +35,6 @@ MARKET_ZONES = {
     "LSE": "Europe/London", "UNKNOWN": "UTC",
 }
 ISIN = "^[A-Z]{2}[A-Z0-9]{9}[0-9]$"
-#: Accented Latin letters and what is left of them without the accent.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 # End of fixed values.
 
 
@@ -46,8 +47,60 @@ def collapse_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), " ", " "), r"[ \t\n\x0B\f\r]+", " "))
 
 
+#: Hangul syllables are composed by rule: leading consonant, vowel, trailing consonant or none.
+HANGUL, LEADS, VOWELS, TAILS = range(0xAC00, 0xD7A4), 0x1100, 0x1161, 0x11A8
+#: The last code point that has a decomposition lies before this one.
+DECOMPOSED_UP_TO = 0x2FA20
+
+
+@functools.cache
+def decompositions() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition (NFKD) without combining marks does to single characters, from the standard library's tables.
+
+    Two strings for `translate` (characters that become one other; combining marks, which go, come last in the first) and the
+    characters that become several.
+    """
+    one, gone, many = {}, [], {}
+    for code in range(0x80, DECOMPOSED_UP_TO):
+        c = chr(code)
+        if code in HANGUL or not (unicodedata.decomposition(c) or unicodedata.combining(c)):
+            continue
+        left = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not left:
+            gone.append(c)
+        elif len(left) > 1:
+            many[c] = left
+        elif left != c:
+            one[c] = left
+    return "".join([*one, *gone]), "".join(one.values()), many
+
+
+def char_class(codes: list[int]) -> str:
+    """A pattern for any of these code points (ascending), runs as ranges."""
+    runs: list[list[int]] = []
+    for code in codes:
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Compatibility decomposition without combining marks: accents go, ligatures, fractions and syllables are taken apart."""
+    single, plain, many = decompositions()
+    several = char_class(sorted([*map(ord, many), *HANGUL]))
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
+    jamo = lambda first, n: F.lit("".join(chr(first + i) for i in range(n)))
+
+    def apart(x: Column) -> Column:
+        at = F.ascii(x) - HANGUL.start
+        tail = at % 28
+        syllable = F.concat(F.substring(jamo(LEADS, 19), F.floor(at / 588).cast("int") + 1, 1), F.substring(jamo(VOWELS, 21), F.floor(at % 588 / 28).cast("int") + 1, 1), F.when(tail > 0, F.substring(jamo(TAILS, 27), tail, 1)).otherwise(""))
+        return F.when(F.ascii(x).between(HANGUL.start, HANGUL[-1]), syllable).when(x.rlike(several), F.try_element_at(table, x)).otherwise(x)
+
+    text = F.translate(c, single, plain)
+    return F.when(text.rlike(several), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), apart), "")).otherwise(text)
 
 
 def normalise_key(c: Column) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as vo
 from ..operators import evaluation as ev
 from ..operators import features as fe
 from ..operators import labels, models, training
-from ..sources import catalogue_json, chart_json, html_tables
+from ..sources import catalogue_json, chart_json, html_tables, landed_charts
 from ..sources import domain_views as views
 from ..sources.domain_views import table, with_views
-from ..storage import cut
+from ..storage import cut, shared_folder
 from ..streaming import bars as stream
 from .ingest import RECORD
 from .market import snapshot_rows
@@ -53,6 +56,79 @@ def chart_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chart_json.parse(payloads(spark, sf_dir)).select("symbol", "error")
 
 
+# --- payloads that landed as files: foreign and local series and rates of one folder, each read back under its own name -----
+
+UNLANDED, UNROUTED, BROKEN = 7, 8, 9  # instruments without a file, without a known venue, with a body that is no JSON
+WINDOW = ("1995-06-01", "1997-05-31")
+
+
+def chart_body(rows: DataFrame, series: list[str], currency: Column, zone: Column) -> DataFrame:
+    """One payload a ticker from `rows` (ticker, market_date, further columns); a series that is not given is absent."""
+    instant = F.unix_seconds(F.col("market_date").cast("timestamp")) + 14 * 3600
+    packed = rows.groupBy("ticker", zone.alias("zone"), currency.alias("currency")).agg(F.sort_array(F.collect_list(F.struct(instant.alias("t"), *series))).alias("b"))
+    quote = F.struct(*[F.col(f"b.{c}").alias(c) for c in series])
+    result = F.struct(F.struct("currency", F.col("zone").alias("exchangeTimezoneName"), F.col("ticker").alias("symbol")).alias("meta"), F.col("b.t").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))
+    return packed.select("ticker", F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def wanted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    market = F.when(F.col("instrument_id") == UNROUTED, "UNKNOWN").otherwise(F.col("underlying_market"))
+    return views.instruments(spark, sf_dir).withColumn("underlying_market", market)
+
+
+def landing(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of payloads, one file a ticker."""
+    wanted = wanted_series(spark, sf_dir)
+    prices = ["open", "high", "low", "close", "volume"]
+    market = F.col("underlying_market")
+    money = F.when(market == "B3", "BRL").when(market == "XETRA", "EUR").when(market == "LSE", "GBP")
+    foreign = views.underlying_bars(spark, sf_dir).join(wanted, "instrument_id").withColumn("ticker", vo.vendor_symbol(F.col("symbol"), market)).where(f"instrument_id <> {UNLANDED} AND ticker IS NOT NULL")
+    broken = F.array(*[F.concat(F.col("symbol"), F.lit(s)) for s in set(vo.MARKET_SUFFIXES.values())])
+    at_home = views.local_bars(spark, sf_dir).join(wanted, "instrument_id").withColumn("ticker", F.concat("symbol", F.lit(landed_charts.LOCAL_SUFFIX)))
+    crossed = views.fx(spark, sf_dir).withColumn("ticker", F.lit(f"USDARS{landed_charts.CROSS_SUFFIX}"))
+    home = F.lit("America/Argentina/Buenos_Aires")
+    bad = wanted.where(f"instrument_id = {BROKEN}").select(F.explode(broken).alias("ticker")).withColumn("_bad", F.lit(True))
+    files = chart_body(foreign, prices, money, vo.market_zone(market)).unionByName(chart_body(at_home, prices, F.lit("ARS"), home)).unionByName(chart_body(crossed, ["close"], F.lit("USD"), F.lit("Europe/London")))
+    folder = f"{shared_folder(spark)}/charts-{uuid.uuid4().hex}"
+    shown = files.join(bad, "ticker", "left").select("ticker", F.when(F.col("_bad"), "no json").otherwise(F.col("body")).alias("body"))
+    shown.write.partitionBy("ticker").text(folder)
+    return folder
+
+
+USABLE = f"i.instrument_id NOT IN ({UNLANDED}, {UNROUTED}, {BROKEN})"
+CURRENCY = "CASE i.underlying_market WHEN 'B3' THEN 'BRL' WHEN 'XETRA' THEN 'EUR' WHEN 'LSE' THEN 'GBP' ELSE 'USD' END"
+
+
+@add("src7_underlying_series", with_views(f"SELECT i.symbol, u.market_date, u.open, u.high, u.low, u.close, u.volume, {CURRENCY} AS currency FROM v_underlying u JOIN v_instruments i ON u.instrument_id = i.instrument_id WHERE {USABLE}"))
+def underlying_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = landed_charts.underlying(spark, landing(spark, sf_dir), wanted_series(spark, sf_dir))
+    return found.bars.select("symbol", "market_date", "open", "high", "low", "close", "volume", "currency")
+
+
+@add("src7_underlying_errors", with_views(f"SELECT symbol, CASE WHEN instrument_id = {UNROUTED} THEN 'unroutable' WHEN instrument_id = {UNLANDED} OR instrument_id NOT IN (SELECT s_nationkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey) THEN 'not_landed' ELSE 'not_json' END AS error FROM v_instruments WHERE instrument_id IN ({UNLANDED}, {UNROUTED}, {BROKEN}) OR instrument_id NOT IN (SELECT s_nationkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey)"))
+def underlying_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed_charts.underlying(spark, landing(spark, sf_dir), wanted_series(spark, sf_dir)).errors
+
+
+@add("src8_local_series", with_views(f"SELECT i.symbol, l.market_date, l.open, l.high, l.low, l.close, l.volume, 'ARS' AS currency FROM v_local l JOIN v_instruments i ON l.instrument_id = i.instrument_id WHERE l.close IS NOT NULL AND l.market_date BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'"))
+def local_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two years of the local series."""
+    found = landed_charts.local(spark, landing(spark, sf_dir), wanted_series(spark, sf_dir), start=WINDOW[0], end=WINDOW[1])
+    return found.bars.select("symbol", "market_date", "open", "high", "low", "close", "volume", "currency")
+
+
+@add("src8_local_rejects", with_views("SELECT i.symbol, CAST(l.market_date AS VARCHAR) || ' 14:00:00' AS slot, 'no_trade_slot' AS reason FROM v_local l JOIN v_instruments i ON l.instrument_id = i.instrument_id WHERE l.close IS NULL"))
+def local_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = landed_charts.local(spark, landing(spark, sf_dir), wanted_series(spark, sf_dir))
+    return found.rejected.select("symbol", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("slot"), "reason")
+
+
+@add("src9_rate_series", with_views("SELECT 'USDARS' AS pair, market_date, close, 'ARS' AS currency FROM v_fx"))
+def rate_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([("USDARS",), ("EURARS",)], "pair string")
+    return landed_charts.rates(spark, landing(spark, sf_dir), pairs).bars.select("pair", "market_date", "close", "currency")
+
+
 @add("src2_charset_decode", "SELECT p_partkey, p_name || ' ñandú' AS text FROM part")
 def charset(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("p_name", F.lit(" ñandú"))

@@ -46,9 +46,9 @@ def collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", vo.collapse_whitespace(raw).alias("clean"))
 
 
-@add("f2_strip_accents", "SELECT p_partkey, strip_accents(translate(p_name, 'aeioun', 'áéíóúñ')) AS plain FROM part")
+@add("f2_strip_accents", "SELECT p_partkey, strip_accents(translate(p_name, 'aeioun', 'áéíóúñ') || ' Tiếng Việt Άγιος e' || chr(769)) AS plain FROM part")
 def accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", vo.strip_accents(F.translate("p_name", "aeioun", "áéíóúñ")).alias("plain"))
+    return table(spark, sf_dir, "part").select("p_partkey", vo.strip_accents(F.concat(F.translate("p_name", "aeioun", "áéíóúñ"), F.lit(" Tiếng Việt Άγιος e\u0301"))).alias("plain"))
 
 
 @add("f3_normalise_market", f"SELECT p_partkey, coalesce({mapping_sql(vo.MARKET_ALIASES, f'lower({CLEAN})')}, 'UNKNOWN') AS market, lower({CLEAN}) IN ('', 'none', 'n/a', 'na', '-', 'null') AS missing FROM ({texts_sql(VENUES)}) t")

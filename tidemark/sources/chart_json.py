@@ -39,11 +39,11 @@ def parse(payloads: DataFrame, *, body: str = "body", symbol: str = "symbol") ->
     return rows.withColumn("error", error)
 
 
-def slots(parsed: DataFrame, *, symbol: str = "symbol", source: str = "chart", currency: str | None = None) -> DataFrame:
-    """Every slot of the usable payloads: a bar, or `reason` no_trade_slot where the close is missing."""
+def slots(parsed: DataFrame, *, symbol: str = "symbol", source: str = "chart", currency: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every slot of the usable payloads: a bar, or `reason` no_trade_slot where the close is missing; `keep` are further columns."""
     good = parsed.where("error is null")
     at = lambda arr: F.try_element_at(arr, F.col("_i") + 1)
-    each = good.select(F.col(symbol).alias("symbol"), "_r", "_q", F.posexplode("_r.timestamp").alias("_i", "_t"))
+    each = good.select(F.col(symbol).alias("symbol"), *keep, "_r", "_q", F.posexplode("_r.timestamp").alias("_i", "_t"))
     zone = F.coalesce(F.nullif(F.col("_r.meta.exchangeTimezoneName"), F.lit("")), F.lit("UTC"))
     instant = F.timestamp_seconds("_t")
     price = lambda c: F.nanvl(at(c), F.lit(None).cast("double"))
@@ -51,6 +51,7 @@ def slots(parsed: DataFrame, *, symbol: str = "symbol", source: str = "chart", c
     close = price(F.col("_q.close"))
     return each.select(
         "symbol",
+        *keep,
         F.to_date(F.from_utc_timestamp(instant, zone)).alias("market_date"),
         instant.alias("timestamp"),
         *[price(F.col(f"_q.{c}")).alias(c) for c in QUOTES],
@@ -69,7 +70,3 @@ def bars(parsed: DataFrame, **options) -> DataFrame:
 def rejected(parsed: DataFrame, **options) -> DataFrame:
     return slots(parsed, **options).where("reason is not null").select("symbol", "timestamp", "reason")
 
-
-def rates(parsed: DataFrame, pair: str, **options) -> DataFrame:
-    """A rate series: its currency is fixed and it has no volume."""
-    return bars(parsed, currency="ARS", **options).drop("volume", "adjusted_close", "symbol").withColumn("pair", F.lit(pair))
