@@ -116,8 +116,8 @@ def pack_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         schema = pa.schema([("sequence_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("position_ids", pa.binary())])
         for batch in rows_of(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(table.ids(text.as_py() or ""), end_id).astype("<u4")
+            for doc, own in zip(batch.column(0).to_pylist(), table.many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(own, end_id).astype("<u4")
                 for start in range(0, len(ids), seq_len):
                     held.append((doc, start, ids[start : start + seq_len]))
                     if len(held) == window:

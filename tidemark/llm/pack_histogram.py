@@ -44,8 +44,8 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
         for batch in rows_of(batches):
             out: list[list] = [[] for _ in names]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(table.ids(text.as_py() or ""), end_id).astype("<u4")
+            for doc, own in zip(batch.column(0).to_pylist(), table.many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(own, end_id).astype("<u4")
                 raw = memoryview(ids.tobytes())
                 for start in range(0, len(ids), seq_len):
                     part = raw[4 * start : 4 * (start + seq_len)]

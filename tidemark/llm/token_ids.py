@@ -1,21 +1,28 @@
 """Token ids of documents by a public byte-level BPE vocabulary, for operators 2 and 4.
 
-The ids are those of `tokenizers` for the same vocabulary. They are made word by word: in this kind of tokenizer no
-token crosses from a non-space character into a following space, so a text may be cut before every space that follows a
-non-space character, and the ids of the pieces, kept in a bounded table of pieces, are put together. Texts with runs
-of white space or with the strings of special tokens go through the tokenizer whole.
+All ids come from `tokenizers`. No token of this kind of tokenizer crosses from a non-space character into a following space,
+so a text may be cut before every space that follows a non-space character, and the ids of the pieces, kept in a bounded table
+of pieces, are put together. The pieces that a batch lacks are encoded as one text, whose ids are parted before each token that
+begins with a space, as a piece has its only space in front. Texts with runs of white space or with the strings of special
+tokens, and last words that end in white space, go through the tokenizer by themselves.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Pieces whose ids one worker keeps, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 40
+CACHE_PIECES, CACHE_CHARS = 800_000, 40
+#: Pieces that one call encodes (an encoding takes far more memory than its ids).
+CALL_PIECES = 4096
 WHOLE = re.compile(r"\s |^ | $")
 
 
@@ -33,46 +40,60 @@ def byte_of_letter() -> dict[str, int]:
 
 
 class Ids:
-    """`ids(text)` gives an array of unsigned 16 or 32-bit ids, without special tokens."""
+    """`many(texts)` gives an array of unsigned 16 or 32-bit ids for each text, without special tokens."""
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = byte_of_letter()
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.special = sorted(special)
-        self.kind = np.uint16 if max(ranks.values()) < 1 << 16 and len(ranks) + len(special) <= 1 << 16 else np.uint32
-        self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(path)
+        self.special = [t["content"] for t in spec.get("added_tokens", ())]
+        largest = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", ()))])
+        self.kind, self.code = (np.uint16, "H") if largest < 1 << 16 else (np.uint32, "I")
+        self.begins = np.zeros(largest + 1, bool)
+        space = next(letter for letter, byte in byte_of_letter().items() if byte == 32)
+        self.begins[[i for token, i in spec["model"]["vocab"].items() if token.startswith(space)]] = True
+        self.tokenizer = Tokenizer.from_file(path)
         self.pieces: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, self.kind)
-        return np.array(self.fast.encode_ordinary(text), self.kind)
+    def encoded(self, strings: list[str]) -> Iterator[bytes]:
+        """Ids of each string by itself."""
+        for i in range(0, len(strings), CALL_PIECES):
+            for e in self.tokenizer.encode_batch_fast(strings[i : i + CALL_PIECES], add_special_tokens=False):
+                yield array(self.code, e.ids).tobytes()
+
+    def encoded_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word with a space before it; the words have no space and end in no white space."""
+        size = np.dtype(self.kind).itemsize
+        for i in range(0, len(words), CALL_PIECES):
+            some = words[i : i + CALL_PIECES]
+            (together,) = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            ids = np.array(together.ids, self.kind)
+            ends = [*(np.flatnonzero(self.begins[ids]) * size).tolist(), len(ids) * size]
+            if len(ends) != len(some) + 1:
+                raise ValueError("a token of this vocabulary crosses into a space")
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in itertools.pairwise(ends))
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, in order."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        split = [None if WHOLE.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
+        lacking = list({w: None for words in split if words for w in words[1:] if w not in self.pieces})
+        plain, ending = [w for w in lacking if not w[-1].isspace()], [w for w in lacking if w[-1].isspace()]
+        self.pieces.update(zip(plain, self.encoded_words(plain), strict=True))
+        self.pieces.update(zip(ending, self.encoded([" " + w for w in ending]), strict=True))
+        heads = self.encoded([t if words is None else words[0] for t, words in zip(texts, split, strict=True)])
+        found = [head if words is None else head + b"".join(map(self.pieces.__getitem__, words[1:])) for head, words in zip(heads, split, strict=True)]
+        for w in lacking:
+            if len(w) > CACHE_CHARS:
+                del self.pieces[w]
+        return [np.frombuffer(ids, self.kind) for ids in found]
 
     def ids(self, text: str) -> np.ndarray:
-        if WHOLE.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        words = [first, *rest]
-        known = list(map(self.pieces.get, rest))
-        if None in known:
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces.clear()
-            for i, got in enumerate(known):
-                if got is None:
-                    word = rest[i]
-                    known[i] = got = np.array(self.fast.encode_ordinary(" " + word), self.kind).tobytes()
-                    if len(word) <= CACHE_CHARS:
-                        self.pieces[word] = got
-        head = np.array(self.fast.encode_ordinary(words[0]), self.kind).tobytes()
-        return np.frombuffer(head + b"".join(known), self.kind)
+        return self.many([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
