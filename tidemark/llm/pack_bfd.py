@@ -96,22 +96,23 @@ def pack_sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal number
-            rows: list[dict] = []
+            rows: list[list] = [[] for _ in schema]
             for members in best_fit_decreasing([len(x[2]) for x in held], seq_len):
-                ends = np.cumsum([0, *(len(held[i][2]) for i in members)]).astype(np.int32)
+                some = [held[i] for i in members]
+                lengths = [len(x[2]) for x in some]
+                ends = np.cumsum([0, *lengths]).astype(np.int32)
+                n = int(ends[-1])
                 ids = np.full(seq_len, pad_id, "<u4")
-                place = np.arange(seq_len, dtype="<u4")
-                for i, a, b in zip(members, ends, ends[1:], strict=False):
-                    ids[a:b] = held[i][2]
-                    place[a:] = np.arange(seq_len - a, dtype="<u4")
-                place[ends[-1] :] = np.arange(seq_len - ends[-1], dtype="<u4")
-                rows.append({"sequence_id": number, "doc_ids": [held[i][0] for i in members], "starts": [held[i][1] for i in members], "cu_seqlens": ends.tolist(), "n_tokens": int(ends[-1]), "ids": ids.tobytes(), "position_ids": place.tobytes()})
+                ids[:n] = np.concatenate([x[2] for x in some])
+                place = (np.arange(seq_len) - np.repeat(ends, [*lengths, seq_len - n])).astype("<u4")
+                for column, value in zip(rows, (number, [x[0] for x in some], [x[1] for x in some], ends.tolist(), n, ids.tobytes(), place.tobytes()), strict=True):
+                    column.append(value)
                 number += 1
-                if len(rows) == 256:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                if len(rows[0]) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+                    rows = [[] for _ in schema]
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
             held.clear()
 
         schema = pa.schema([("sequence_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("position_ids", pa.binary())])

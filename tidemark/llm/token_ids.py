@@ -3,8 +3,8 @@
 All ids come from `tokenizers`. No token of this kind of tokenizer crosses from a non-space character into a following space,
 so a text may be cut before every space that follows a non-space character, and the ids of the pieces, kept in a bounded table
 of pieces, are put together. The pieces that a batch lacks are encoded as one text, whose ids are parted before each token that
-begins with a space, as a piece has its only space in front. Texts with runs of white space or with the strings of special
-tokens, and last words that end in white space, go through the tokenizer by themselves.
+begins with a space, as a piece has its only space in front. Texts with runs of white space, white space at an end or the
+strings of special tokens go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ import numpy as np
 CACHE_PIECES, CACHE_CHARS = 800_000, 40
 #: Pieces that one call encodes (an encoding takes far more memory than its ids).
 CALL_PIECES = 4096
-WHOLE = re.compile(r"\s |^ | $")
 
 
 def default_path() -> str:
@@ -39,6 +38,10 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: White space that is no space, before a space.
+OTHER_BEFORE_SPACE = re.compile(r"[^\S ] ")
+
+
 class Ids:
     """`many(texts)` gives an array of unsigned 16 or 32-bit ids for each text, without special tokens."""
 
@@ -76,21 +79,26 @@ class Ids:
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in itertools.pairwise(ends))
 
+    def whole(self, text: str) -> bool:
+        """Whether the text must not be cut at its spaces; a printable text has no other white space than the space."""
+        if "  " in text or text[:1] == " " or text[-1:].isspace() or not text.isprintable() and OTHER_BEFORE_SPACE.search(text):
+            return True
+        return any(s in text for s in self.special)
+
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, in order."""
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        split = [None if WHOLE.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        lacking = list({w: None for words in split if words for w in words[1:] if w not in self.pieces})
-        plain, ending = [w for w in lacking if not w[-1].isspace()], [w for w in lacking if w[-1].isspace()]
-        self.pieces.update(zip(plain, self.encoded_words(plain), strict=True))
-        self.pieces.update(zip(ending, self.encoded([" " + w for w in ending]), strict=True))
-        heads = self.encoded([t if words is None else words[0] for t, words in zip(texts, split, strict=True)])
-        found = [head if words is None else head + b"".join(map(self.pieces.__getitem__, words[1:])) for head, words in zip(heads, split, strict=True)]
+        known = self.pieces
+        split = [[t] if self.whole(t) else t.split(" ") for t in texts]
+        lacking = dict.fromkeys(w for words in split for w in words[1:] if w not in known)
+        known.update(zip(lacking, self.encoded_words(list(lacking)), strict=True))
+        heads = self.encoded([words[0] for words in split])
+        found = [np.frombuffer(head + b"".join(map(known.__getitem__, words[1:])), self.kind) for head, words in zip(heads, split, strict=True)]
         for w in lacking:
             if len(w) > CACHE_CHARS:
-                del self.pieces[w]
-        return [np.frombuffer(ids, self.kind) for ids in found]
+                del known[w]
+        return found
 
     def ids(self, text: str) -> np.ndarray:
         return self.many([text])[0]
