@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.indicators import YEAR
-from ..functions.pricing import COMMISSION, SLIPPAGE
+from ..functions.pricing import COMMISSION, SLIPPAGE, finite
+from ..functions.vocabulary import normalise_symbol
 
 CAPITAL = 1_000_000.0
 
@@ -122,3 +123,55 @@ def validate(df: DataFrame, prices: str = "prices", signals: str = "signals", ho
     p, n = F.col(prices), F.size(prices)
     bad = F.exists(p, lambda x: x.isNull() | F.isnan(x) | (x <= 0))
     return df.withColumn("error", F.when(n < 2, "too_few_bars").when(n > most, "too_many_bars").when(bad, "bad_price").when((n - 1) % holding_period != 0, "signal_count").when(F.exists(signals, lambda x: x.isNull() | ~x.isin(0, 1)), "bad_signal"))
+
+
+def check_windows(requests: DataFrame, instruments: DataFrame, bars: DataFrame, *, price: str = "close", most: int = 5000) -> DataFrame:
+    """Requests for backtests (symbol, start, end, holding_period, signals) with `bars`, the stored bars of the window, and `error`.
+
+    The first that applies, or null: invalid_window (start after end, or one is null), instrument_not_found (a symbol may be
+    written in any way), insufficient_history (a bar without a price), range_too_wide, insufficient_history (under two bars),
+    signal_length_mismatch (not one signal for each holding period). No signals count as an empty array.
+
+    Windows are counted by running counts at their edges, so long windows cost no more than short ones, and the days of an
+    instrument that many requests name are sorted once.
+    """
+    named = instruments.select(F.col("symbol").alias("_symbol"), F.col("instrument_id").alias("_id"))
+    asked = requests.withColumn("_symbol", normalise_symbol(F.col("symbol"))).join(named, "_symbol", "left")
+    asked = asked.withColumn("_left", F.when(F.col("start") <= F.col("end"), F.date_sub("start", 1))).withColumn("_right", F.when(F.col("start") <= F.col("end"), F.col("end")))
+    edges = asked.select("_id", F.explode(F.array("_left", "_right")).alias("_day")).where("_id IS NOT NULL AND _day IS NOT NULL").distinct()
+    kept = bars.select(F.col("instrument_id").alias("_id"), F.col("market_date").alias("_day"), F.lit(1).alias("_n"), F.col(price).isNull().cast("int").alias("_holes"))
+    days = kept.unionByName(edges.select("_id", "_day", F.lit(0).alias("_n"), F.lit(0).alias("_holes"))).groupBy("_id", "_day").agg(F.sum("_n").alias("_n"), F.sum("_holes").alias("_holes"))
+    sofar = Window.partitionBy("_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    counts = days.select("_id", "_day", F.sum("_n").over(sofar).alias("_n"), F.sum("_holes").over(sofar).alias("_holes"))
+    for side in ("_left", "_right"):
+        asked = asked.join(counts.select("_id", F.col("_day").alias(side), F.col("_n").alias(f"{side}_n"), F.col("_holes").alias(f"{side}_holes")), ["_id", side], "left")
+    n, holes = F.col("_right_n") - F.col("_left_n"), F.col("_right_holes") - F.col("_left_holes")
+    needed = F.coalesce(F.array_size("signals"), F.lit(0)) * F.coalesce("holding_period", F.lit(1))
+    error = (
+        F.when(F.col("_right").isNull(), "invalid_window")
+        .when(F.col("_id").isNull(), "instrument_not_found")
+        .when(holes > 0, "insufficient_history")
+        .when(n > most, "range_too_wide")
+        .when(n < 2, "insufficient_history")
+        .when(needed != n - 1, "signal_length_mismatch")
+    )
+    return asked.select(*requests.columns, n.alias("bars"), error.alias("error"))
+
+
+def unusable(price: Column) -> Column:
+    """Whether a price is null, not finite or not above zero."""
+    value = price.cast("double")
+    return ~finite(value) | (value <= 0)
+
+
+def price_errors(rows: DataFrame, by: list[str], price: str = "close") -> DataFrame:
+    """Why the prices of a key make no series, or null: too_few_prices, bad_price."""
+    return rows.groupBy(*by).agg(F.when(F.count(F.lit(1)) < 2, "too_few_prices").when(F.count_if(unusable(F.col(price))) > 0, "bad_price").alias("error"))
+
+
+def checked_prices(rows: DataFrame, by: list[str], price: str = "close") -> DataFrame:
+    """The rows, in a plan that fails at a key whose prices make no series; later windows over the same key use its exchange."""
+    many = F.count(F.lit(1)).over(Window.partitionBy(*by)) >= 2
+    few = F.raise_error(F.lit(f"{price} needs at least 2 prices")).cast("double")
+    bad = F.raise_error(F.lit(f"{price} must be finite and above zero")).cast("double")
+    return rows.withColumn(price, F.when(~many, few).when(unusable(F.col(price)), bad).otherwise(F.col(price).cast("double")))

@@ -49,6 +49,11 @@ def latest(df: DataFrame, by: list[str], day: str, upto: Column) -> DataFrame:
     return df.where(F.col(day) <= upto).groupBy(*by).agg(F.max_by(F.struct(*rest), F.col(day)).alias("_r")).select(*by, "_r.*")
 
 
+def latest_instant(df: DataFrame, instant: str, now: Column | None = None) -> DataFrame:
+    """The latest instant that is stored, as `latest`; `now` (the present one unless given) where none is."""
+    return df.agg(F.coalesce(F.max(instant), F.current_timestamp() if now is None else now).alias("latest"))
+
+
 def point(df: DataFrame, key: str, value: str) -> DataFrame:
     """The row of a symbol, written in any way; an error where there is none."""
     found = df.where(F.col(key) == normalise_symbol(F.lit(value)))

@@ -74,7 +74,7 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("a20_latest_instant", "SELECT max(ts) AS latest FROM events")
 def latest_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").agg(F.max("ts").alias("latest"))
+    return ca.latest_instant(table(spark, sf_dir, "events"), "ts")
 
 
 @add("t1_page_symbols", f"WITH {INSTRUMENTS} SELECT symbol, name FROM ins ORDER BY symbol LIMIT 20 OFFSET 40")

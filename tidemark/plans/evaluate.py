@@ -221,6 +221,42 @@ def window_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.validate(runs, holding_period=5).select("instrument_id", "error")
 
 
+#: A request for each order: windows of up to 12 days, each seventh of up to five years, some that end before they start.
+ASKED = {
+    "request_id": "o_orderkey",
+    "symbol": "CASE WHEN o_orderkey % 31 = 0 THEN 'NONE' ELSE upper(n_name) END",
+    "start": "CAST(o_orderdate AS DATE)",
+    "end": "CAST(o_orderdate AS DATE) + CAST(o_orderkey % CASE WHEN o_orderkey % 7 = 0 THEN 1800 ELSE 13 END - 1 AS INT)",
+    "holding_period": "CAST(1 + o_orderkey % 2 AS INT)",
+    "n_signals": "CAST(o_custkey % 4 AS INT)",
+}
+WIDE = 1000
+REQUESTS = ", ".join(f'{e} AS "{n}"' for n, e in ASKED.items())
+WINDOWS = with_views(
+    f"""SELECT request_id, bars, CASE WHEN start > "end" THEN 'invalid_window' WHEN instrument_id IS NULL THEN 'instrument_not_found' WHEN holes > 0 THEN 'insufficient_history'
+  WHEN bars > {WIDE} THEN 'range_too_wide' WHEN bars < 2 THEN 'insufficient_history' WHEN n_signals * holding_period <> bars - 1 THEN 'signal_length_mismatch' END AS error
+FROM (SELECT request_id, start, "end", holding_period, n_signals, i.instrument_id, CASE WHEN start <= "end" AND i.instrument_id IS NOT NULL THEN count(l.market_date) END AS bars, count(l.market_date) - count(l.close) AS holes
+  FROM req r LEFT JOIN v_instruments i ON r.symbol = i.symbol LEFT JOIN v_local l ON l.instrument_id = i.instrument_id AND l.market_date BETWEEN r.start AND r."end" GROUP BY request_id, start, "end", holding_period, n_signals, i.instrument_id) t""",
+    f"req AS (SELECT {REQUESTS} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)",
+)
+
+
+@add("b7_request_errors", WINDOWS)
+def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request judged against the stored bars of its window; windows of over 1000 bars are too wide."""
+    orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = joined.selectExpr(*[f"{e} AS `{n}`" for n, e in ASKED.items()]).withColumn("signals", F.array_repeat(F.lit(1), F.col("n_signals")))
+    return bt.check_windows(asked, views.instruments(spark, sf_dir), views.local_bars(spark, sf_dir), most=WIDE).select("request_id", "bars", "error")
+
+
+@add("b6_price_errors", with_views("SELECT instrument_id, CASE WHEN count(*) < 2 THEN 'too_few_prices' WHEN count(*) > count(close) OR min(close) <= 0 THEN 'bad_price' END AS error FROM v_local GROUP BY instrument_id UNION ALL SELECT 100 + instrument_id, CASE WHEN count(*) < 2 THEN 'too_few_prices' WHEN count(*) > count(close) OR min(close) <= 0 THEN 'bad_price' END FROM v_underlying GROUP BY instrument_id"))
+def price_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local series, which have holes, and (from 100 on) foreign ones, which have none."""
+    foreign = views.underlying_bars(spark, sf_dir).select((100 + F.col("instrument_id")).alias("instrument_id"), "close")
+    return bt.price_errors(views.local_bars(spark, sf_dir).select("instrument_id", "close").unionByName(foreign), ["instrument_id"])
+
+
 @add("a19_chart_extent", with_views("SELECT instrument_id, CASE WHEN max(close) = min(close) THEN min(close) - 1 ELSE min(close) - 0.05::DOUBLE * (max(close) - min(close)) END AS low, CASE WHEN max(close) = min(close) THEN max(close) + 1 ELSE max(close) + 0.05::DOUBLE * (max(close) - min(close)) END AS high FROM v_local GROUP BY instrument_id"))
 def chart_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = F.min("close"), F.max("close")
