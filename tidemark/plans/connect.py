@@ -16,7 +16,7 @@ from ..sources import domain_views as views
 from ..sources.domain_views import table, with_views
 from ..storage import cut, shared_folder
 from ..streaming import bars as stream
-from .ingest import RECORD
+from .ingest import RECORD, RECORDS
 from .market import snapshot_rows
 from .registry import Registry
 
@@ -139,11 +139,14 @@ def charset(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- catalogues and lists ---------------------------------------------------------------------------------------------
 
 
+PAGE = 500  # records of one file or page
+
+
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{e} AS {n}" for n, e in RECORD.items()])
     item = F.concat(F.lit("<ul><li><strong>NOMBRE: </strong>"), F.coalesce("name", F.lit("")), F.lit("</li><li><strong>Mercado de valor subyacente</strong>: "), F.when(F.col("pos") % 3 == 0, "Nasdaq GS").otherwise("none"), F.lit("</li><li><strong>Nombre</strong>: second</li><li>Ticker en mercado de or&iacute;gen: "), F.coalesce("underlying_symbol", F.lit("")), F.lit("</li></ul>"))
     product = F.struct(F.col("pos").cast("string").alias("id"), F.when(F.col("pos") % 50 > 0, F.concat(F.lit(" s"), F.col("pos").cast("string"))).alias("name"), item.alias("description"), F.col("p_brandname").alias("summary"), F.lit("Cedear Shares").alias("section"), F.concat(F.col("ratio").cast("int").cast("string"), F.lit(" :1")).alias("character"))
-    return rows.withColumn("p_brandname", F.concat(F.lit("<b>"), "source_ref", F.lit("</b>"))).groupBy((F.col("pos") % 4).alias("file")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(product)).alias("products"))).alias("body"))
+    return rows.withColumn("p_brandname", F.concat(F.lit("<b>"), "source_ref", F.lit("</b>"))).groupBy(F.floor(F.col("pos") / PAGE).alias("file")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(product)).alias("products"))).alias("body"))
 
 
 @add("src10_catalogue_records", "SELECT 'S' || CAST(p_partkey AS VARCHAR) AS symbol, p_brand AS name, CASE WHEN p_partkey % 3 = 0 THEN 'Nasdaq GS' ELSE 'none' END AS underlying_market_raw, CASE WHEN p_partkey % 7 > 0 THEN trim(p_name) END AS underlying_name, CASE WHEN p_partkey % 4 > 0 THEN CAST(1 + (p_partkey % 401) % 9 + (CASE WHEN p_partkey % 89 < 9 THEN 1 ELSE 0 END) AS DOUBLE) END AS ratio FROM part WHERE p_partkey % 50 > 0")
@@ -162,15 +165,28 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {n}" for n, e in RECORD.items()]).withColumn("r", F.concat(F.col("ratio").cast("int").cast("string"), F.lit(":1"))).withColumn("s", F.concat(F.lit("L"), F.col("pos").cast("string"))).withColumn("m", F.lit("NYSE"))
     body = F.concat(F.lit("<tr>"), *[cell(c) for c in ("name", "s", "underlying_symbol", "m", "r")], F.lit("</tr>"))
     head = "<html><table class='x'><tr><td>other</td></tr></table><table class=\"big tabla\"><thead><tr><th>CEDEAR de<br>Acciones</th><th>Símbolo BYMA</th><th>Ticker en Mercado de Origen</th><th>Mercado de Origen</th><th>Ratio CEDEARs / valor subyacente</th></tr></thead><tbody>"
-    packed = rows.groupBy((F.col("pos") % 3).alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", body.alias("b")))), lambda x: x["b"]), "\n").alias("b"))
+    packed = rows.groupBy(F.floor(F.col("pos") / PAGE).alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", body.alias("b")))), lambda x: x["b"]), "\n").alias("b"))
     return packed.select("page_id", F.concat(F.lit(head), "b", F.lit("</tbody></table></html>")).alias("html"))
 
 
-@add("src12_html_tables", "SELECT CAST(p_partkey % 3 AS BIGINT) AS page_id, CAST((count(*) + 1) * 5 AS BIGINT) AS cells FROM part GROUP BY 1")
+@add("src12_html_tables", f"SELECT CAST(p_partkey // {PAGE} AS BIGINT) AS page_id, CAST((count(*) + 1) * 5 AS BIGINT) AS cells FROM part GROUP BY 1")
 def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tables.table_cells(list_pages(spark, sf_dir), "tabla").groupBy("page_id").agg(F.count(F.lit(1)).alias("cells"))
 
 
+CELL_TEXT = f"""WITH {RECORDS}, r AS (SELECT CAST(pos // {PAGE} AS BIGINT) AS page_id, row_number() OVER (PARTITION BY pos // {PAGE} ORDER BY pos) AS row_no,
+  [coalesce(name, ''), 'L' || CAST(pos AS VARCHAR), coalesce(underlying_symbol, ''), 'NYSE', coalesce(CAST(CAST(ratio AS INT) AS VARCHAR) || ':1', '')] AS texts FROM rec),
+h AS (SELECT DISTINCT page_id, 0 AS row_no, ['CEDEAR de Acciones', 'Símbolo BYMA', 'Ticker en Mercado de Origen', 'Mercado de Origen', 'Ratio CEDEARs / valor subyacente'] AS texts FROM r)
+SELECT page_id, CAST(row_no AS INT) AS row_no, CAST(i - 1 AS INT) AS col_no, row_no = 0 AS header, trim(regexp_replace(texts[i], '\\s+', ' ', 'g')) AS text
+FROM (SELECT * FROM r UNION ALL SELECT * FROM h) t, range(1, 6) c(i)"""
+
+
+@add("src12_cell_text", CELL_TEXT)
+def html_cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of every page with its place and text."""
+    return html_tables.table_cells(list_pages(spark, sf_dir), "tabla").select("page_id", "row_no", "col_no", "header", "text")
+
+
 @add("src15_html_universe", "SELECT 'L' || CAST(p_partkey AS VARCHAR) AS symbol, 'STOCK' AS instrument_type, 'NYSE' AS underlying_market_raw, CASE WHEN p_partkey % 4 > 0 THEN CAST(1 + (p_partkey % 401) % 9 + (CASE WHEN p_partkey % 89 < 9 THEN 1 ELSE 0 END) AS DOUBLE) END AS ratio FROM part")
 def html_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = html_tables.records(html_tables.labelled_rows(html_tables.table_cells(list_pages(spark, sf_dir), "tabla"))).where("reason is null")

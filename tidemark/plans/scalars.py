@@ -239,7 +239,7 @@ def instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", mt.parse_instant(text).cast("timestamp_ntz").alias("instant"))
 
 
-@add("f33_venue_zone", with_views(f"SELECT symbol, {mapping_sql(vo.MARKET_ZONES, 'underlying_market')} AS zone FROM v_instruments"))
+@add("f33_venue_zone", with_views("SELECT symbol, CASE underlying_market WHEN 'NYSE' THEN 'America/New_York' WHEN 'NASDAQ_GS' THEN 'America/New_York' WHEN 'B3' THEN 'America/Sao_Paulo' WHEN 'XETRA' THEN 'Europe/Berlin' WHEN 'LSE' THEN 'Europe/London' END AS zone FROM v_instruments"))
 def venue_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.instruments(spark, sf_dir).select("symbol", vo.market_zone(F.col("underlying_market")).alias("zone"))
 
@@ -254,7 +254,7 @@ def chart_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.instruments(spark, sf_dir).select("symbol", vo.chart_url("chart", F.col("symbol"), F.lit("2026-01-02").cast("date"), F.lit("2026-01-09").cast("date")).alias("url"))
 
 
-@add("src4_vendor_symbol", with_views(f"SELECT symbol, symbol || {mapping_sql(vo.MARKET_SUFFIXES, 'underlying_market')} AS ticker FROM v_instruments"))
+@add("src4_vendor_symbol", with_views("SELECT symbol, symbol || CASE underlying_market WHEN 'B3' THEN '.SA' WHEN 'XETRA' THEN '.DE' WHEN 'LSE' THEN '.L' ELSE '' END AS ticker FROM v_instruments"))
 def vendor_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.instruments(spark, sf_dir).select("symbol", vo.vendor_symbol(F.col("symbol"), F.col("underlying_market")).alias("ticker"))
 
