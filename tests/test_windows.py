@@ -86,3 +86,15 @@ def test_latest_instant_falls_back(spark):
     now = F.lit(datetime(2024, 5, 1)).cast("timestamp")
     assert catalog.latest_instant(rows.where("false"), "ts", now).first()["latest"] == datetime(2024, 5, 1)
     assert catalog.latest_instant(rows.where("false"), "ts").first()["latest"] is not None
+
+
+def test_holding_period_of_stored_parameters(spark):
+    texts = ['{"holding_period": 5}', '{"holding_period": "5"}', '{"holding_period": 2.5}', '{"holding_period": true}', '{"holding_period": false}', "{}", '{"holding_period": null}', "no json", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, params string")
+    got = rows.select("i", catalog.holding_period(F.col("params")).alias("v")).orderBy("i").collect()
+    assert [r["v"] for r in got] == [5, 1, 1, 1, 0, 1, 1, 1, 1, 1]
+
+
+def test_ratio_of_a_shown_price_is_empty_where_none_is(spark):
+    rows = spark.createDataFrame([(10.0,), (0.2,), (None,)], "ratio_used double")
+    assert [r["ratio_used_formatted"] for r in catalog.shown_theoretical(rows).collect()] == ["10:1", "1:5", ""]

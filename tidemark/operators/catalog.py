@@ -118,3 +118,21 @@ def route_venues(instruments: DataFrame) -> DataFrame:
     blank = F.coalesce(F.trim("underlying_symbol"), F.lit("")) == ""
     market = F.coalesce(F.col("underlying_market"), F.lit(""))
     return instruments.withColumn("warning", F.when(blank, "no_underlying_symbol").when(market == "", "no_underlying_market").when(market == "UNKNOWN", "unknown_underlying_market"))
+
+
+def shown_theoretical(prices: DataFrame) -> DataFrame:
+    """Theoretical prices as they are shown: with the ratio in words, empty where there is none; nulls stay."""
+    return prices.withColumn("ratio_used_formatted", F.coalesce(format_ratio(F.col("ratio_used")), F.lit("")))
+
+
+def holding_period(params: Column) -> Column:
+    """The whole number that JSON parameters name as holding_period (true is 1, false 0); 1 without one or for any other value."""
+    found = F.try_variant_get(F.try_parse_json(params), "$.holding_period", "variant")
+    whole = F.schema_of_variant(found).isin("BIGINT", "BOOLEAN")
+    return F.coalesce(F.when(whole, F.try_variant_get(found, "$", "int")), F.lit(1))
+
+
+def backtest_summaries(backtests: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Stored runs without their vectors: id, symbol, start_date, end_date, n_bars, holding_period, total_costs, metrics."""
+    named = backtests.join(instruments.select("instrument_id", "symbol"), "instrument_id", "left")
+    return named.select("id", "symbol", "start_date", "end_date", "n_bars", holding_period(F.col("params")).alias("holding_period"), "total_costs", "metrics")

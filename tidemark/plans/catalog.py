@@ -123,6 +123,31 @@ def with_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.local_bars(spark, sf_dir).join(views.instruments(spark, sf_dir), "instrument_id", "left").select("symbol", "market_date", "close")
 
 
+#: A stored run for each order; parameters as JSON of every kind.
+STORED = {
+    "id": "o_orderkey",
+    "instrument_id": "o_custkey % 25",
+    "start_date": "CAST(o_orderdate AS DATE)",
+    "end_date": "CAST(o_orderdate AS DATE) + 30",
+    "n_bars": "CAST(o_orderkey % 30 AS INT)",
+    "params": """CASE o_orderkey % 7 WHEN 0 THEN concat('{"holding_period": ', CAST(o_custkey % 20 AS STRING), '}') WHEN 1 THEN '{"holding_period": "5"}' WHEN 2 THEN '{"holding_period": 2.5}'
+  WHEN 3 THEN '{"threshold": 0.5}' WHEN 4 THEN '{"holding_period": null}' WHEN 5 THEN '{"holding_period": [3]}' END""",
+    "total_costs": "o_totalprice",
+    "metrics": "concat('{\"sharpe\": ', CAST(o_orderkey % 9 AS STRING), '}')",
+}
+
+
+@add("prj2_backtest_summary", with_views("SELECT o_orderkey AS id, symbol, CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + 30 AS end_date, CAST(o_orderkey % 30 AS INT) AS n_bars, CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_custkey % 20 ELSE 1 END AS INT) AS holding_period, o_totalprice AS total_costs, concat('{\"sharpe\": ', CAST(o_orderkey % 9 AS VARCHAR), '}') AS metrics FROM orders LEFT JOIN v_instruments ON instrument_id = o_custkey % 25"))
+def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in STORED.items()])
+    return ca.backtest_summaries(runs, views.instruments(spark, sf_dir))
+
+
+@add("prj2_theoretical", with_views("SELECT instrument_id, market_date, theoretical_price, premium_discount, CASE WHEN ratio_used IS NULL THEN '' ELSE CAST(CAST(ratio_used AS INT) AS VARCHAR) || ':1' END AS ratio_used_formatted FROM theo", THEO_STEP))
+def shown_theoretical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ca.shown_theoretical(theoretical_rows(spark, sf_dir)).select("instrument_id", "market_date", "theoretical_price", "premium_discount", "ratio_used_formatted")
+
+
 @add("j9_models_with_runs", "SELECT c_custkey, CAST(count(o_orderkey) AS INT) AS runs, min(o_orderkey) AS first_run, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), '') AS listed FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def models_with_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
